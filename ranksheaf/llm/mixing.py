@@ -2,18 +2,24 @@
 
 Tokens are summed per source, the targets follow by water-filling, a source's repetition rate is its target
 over its size, and every document is taken floor(rate) times plus one more time with the fraction as
-probability, drawn from a hash of seed and doc_id: reruns agree.
+probability. Each document's draw has exactly that probability and comes from hashes of the seed, so reruns
+agree. The draws of a source are tied to each other so that its words come near its target even with few or
+very uneven documents: its documents stand in order of size class, ties by hash, and with one uniform offset u
+a source the document at position r gets the copy if floor((r + 1) * f + u) is over floor(r * f + u).
 
 Water-filling in one pass: with the sources ordered by cap / weight, the capped ones come first. A source is
-capped if its ratio is below the level that the rest would share after all before it were capped.
+capped if its ratio is below the level that it and the rest would share after all before it were capped;
+the level of the first that is not holds for all after it.
 
-Only the per-source sums (one narrow row a source, not a document) are ordered in one task. They are
-broadcast behind a check of their number; beyond it hot sources are broadcast alone and the rest is joined
-by a shuffle.
+Positions come from two passes: counts per stratum (source, size class, hash block) give each stratum's first
+position, a window within the stratum the rest. A block holds about BLOCK documents of all sources together,
+so the hot source's strata are as small as any. Only narrow rows (id, source, size) are shuffled. The
+per-source sums are ordered in one task, one row a source. Tables of sources and strata are broadcast behind
+a check of their number; beyond it hot keys are broadcast alone and the rest is joined by a shuffle.
 
 Defined cases: null text has size 0; a null source is a source of its own, last in order; a source whose
-documents are all empty has target 0; repeated rows draw alike; a null doc_id draws as the empty string; no
-rows give no rows; columns beside doc_id, source and text are not read.
+documents are all empty has target 0; repeated rows are drawn for each on its own; a null doc_id is hashed as
+the empty string; no rows give no rows; columns beside doc_id, source and text are not read.
 """
 
 from __future__ import annotations
@@ -21,16 +27,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, durable, join_with_hot_keys, word_count
+from .common import BROADCAST_ROWS, checked_broadcast, durable, join_with_hot_keys, word_count
 
 SEED = "mix-1"
 CAP = 3
+#: Documents of all sources in a hash block.
+BLOCK = 1_000_000
 
 
 def targets(sums: DataFrame, cap: int = CAP, weights: int = 3) -> DataFrame:
-    """source, source_size, n -> the same with the source's target in words."""
-    by_name = Window.orderBy(F.col("source").isNull(), "source")
-    by_ratio = Window.orderBy("_ratio", F.col("source").isNull(), "source")
+    """_null, source, source_size, n -> the same with the source's target in words."""
+    by_name = Window.orderBy("_null", "source")
+    by_ratio = Window.orderBy("_ratio", "_null", "source")
     before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy()
     t = sums.withColumn("_weight", ((F.row_number().over(by_name) - 1) % weights + 1).cast("long"))
@@ -38,47 +46,64 @@ def targets(sums: DataFrame, cap: int = CAP, weights: int = 3) -> DataFrame:
     left = F.sum("source_size").over(everything) - F.coalesce(F.sum("_cap").over(before), F.lit(0))
     weight = F.sum("_weight").over(everything) - F.coalesce(F.sum("_weight").over(before), F.lit(0))
     t = t.withColumn("_level", left / weight)
-    t = t.withColumn("_open", F.min(F.when(F.col("_ratio") >= F.col("_level"), F.col("_level"))).over(everything))
+    t = t.withColumn("_open", F.max(F.when(F.col("_ratio") >= F.col("_level"), F.col("_level"))).over(everything))
     open_ = F.col("_ratio") >= F.col("_level")
-    return t.select("source", "source_size", "n", F.when(open_, F.col("_weight") * F.col("_open")).otherwise(F.col("_cap").cast("double")).alias("target"))
+    return t.select("_null", "source", "source_size", "n", F.when(open_, F.col("_weight") * F.col("_open")).otherwise(F.col("_cap").cast("double")).alias("target"))
 
 
-def draw(doc_id, seed: str = SEED):
-    """Uniform in [0, 1) from 48 bits of a hash."""
-    bits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 12), 16, 10)
+def uniform(name, seed: str = SEED):
+    """In [0, 1), from 48 bits of a hash."""
+    bits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(name.cast("string"), F.lit("")))), 1, 12), 16, 10)
     return bits.cast("double") / F.lit(float(1 << 48))
 
 
+def size_class(size):
+    """Four classes to a doubling, by the leading bits."""
+    bits = F.length(F.bin(size))
+    return F.when(size < 8, size).otherwise(bits * 4 + F.expr("shiftright(size, length(bin(size)) - 3)").bitwiseAND(F.lit(3))).cast("int")
+
+
+def _joined(left: DataFrame, right: DataFrame, key: list[str], rows: int, total: int) -> DataFrame:
+    """right is unique in key and has n, the left rows that it meets; n is dropped."""
+    if rows <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right.drop("n")), key)
+    return join_with_hot_keys(left, right, key, "n", total)
+
+
 def mix(docs: DataFrame, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """One row per input row: doc_id, size, source_size, target, taken, copies."""
-    sized = durable(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
-    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    sized = durable(sized.withColumn("_null", F.col("source").isNull()).withColumn("source", F.coalesce("source", F.lit(""))))
+    sums = sized.groupBy("_null", "source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     goals = durable(targets(sums, cap))
     sources, total = goals.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    named = lambda df: df.withColumn("_null", F.col("source").isNull()).withColumn("_source", F.coalesce("source", F.lit("")))
-    key, right = ["_null", "_source"], named(goals).drop("source")
-    if sources <= BROADCAST_ROWS:
-        both = named(sized).join(F.broadcast(right.drop("n")), key)
-    else:
-        both = join_with_hot_keys(named(sized), right, key, "n", total)
+    blocks = max(1, -(-total // BLOCK))
+    place = sized.withColumn("_hash", uniform(F.col("doc_id"), seed)).withColumn("_class", size_class(F.col("size"))).withColumn("_block", F.floor(F.col("_hash") * blocks).cast("int"))
+    stratum = ["_null", "source", "_class", "_block"]
+    in_source = Window.partitionBy("_null", "source").orderBy(F.desc("_class"), "_block")
+    strata = place.groupBy(*stratum).agg(F.count(F.lit(1)).alias("n"))
+    strata = durable(strata.withColumn("_first", F.sum("n").over(in_source) - F.col("n")))
+    ranked = place.withColumn("_rank", F.row_number().over(Window.partitionBy(*stratum).orderBy(F.desc("size"), "_hash", "doc_id")) - 1)
+    both = _joined(_joined(ranked, strata, stratum, strata.count(), total), goals, ["_null", "source"], sources, total)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    copies = F.floor("_rate") + (draw(F.col("doc_id"), seed) < F.col("_rate") - F.floor("_rate")).cast("long")
-    return both.withColumn("_rate", rate).withColumn("copies", copies).select(
+    both = both.withColumn("_rate", rate).withColumn("_u", uniform(F.concat(F.lit("source:"), "source"), seed)).withColumn("_at", F.col("_first") + F.col("_rank"))
+    part = F.col("_rate") - F.floor("_rate")
+    extra = F.floor((F.col("_at") + 1) * part + F.col("_u")) > F.floor(F.col("_at") * part + F.col("_u"))
+    return both.withColumn("copies", F.floor("_rate") + extra.cast("long")).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies"
     )
 
 
 def mixed_documents(docs: DataFrame, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """docs with every row as often as the mix takes it."""
-    sized = durable(docs.select("source", word_count(F.col("text")).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")))
-    goals = durable(targets(sized, cap))
-    sources, total = goals.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    right = goals.select(F.col("source").isNull().alias("_null"), F.coalesce("source", F.lit("")).alias("_source"), rate.alias("_rate"), "n")
-    left = docs.withColumn("_null", F.col("source").isNull()).withColumn("_source", F.coalesce("source", F.lit("")))
-    both = left.join(F.broadcast(right.drop("n")), ["_null", "_source"]) if sources <= BROADCAST_ROWS else join_with_hot_keys(left, right, ["_null", "_source"], "n", total)
-    copies = F.floor("_rate") + (draw(F.col("doc_id"), seed) < F.col("_rate") - F.floor("_rate")).cast("long")
-    return both.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(*docs.columns)
+    taken = durable(mix(docs, cap, seed).groupBy(F.col("doc_id").alias("_id")).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")))
+    both = docs.join(checked_broadcast(taken.where("_copies > 0"), taken.count()), F.col("doc_id").eqNullSafe(F.col("_id")))
+    once = both.where("_rows = 1")
+    # an id in several rows: its copies are dealt out among them
+    again = both.where("_rows > 1").withColumn("_nth", F.row_number().over(Window.partitionBy("_id").orderBy("_rows")))
+    share = F.floor(F.col("_copies") / F.col("_rows")) + (F.col("_nth") <= F.col("_copies") % F.col("_rows")).cast("long")
+    repeated = lambda df, n: df.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), n.cast("int")))).select(*docs.columns)
+    return repeated(once, F.col("_copies")).unionByName(repeated(again, share))
 
 
 SQL = """
@@ -95,16 +120,21 @@ levels AS (
   FROM ratios WINDOW o AS (ORDER BY ratio, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 goals AS (
   SELECT source, source_size,
-         CASE WHEN ratio >= level THEN w * min(CASE WHEN ratio >= level THEN level END) OVER ()
+         CASE WHEN ratio >= level THEN w * max(CASE WHEN ratio >= level THEN level END) OVER ()
               ELSE CAST(source_size * 3 AS DOUBLE) END AS target
   FROM levels),
 rates AS (
-  SELECT s.doc_id, s.size, g.source_size, g.target,
+  SELECT s.doc_id, s.source, s.size, g.source_size, g.target,
          CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 0.0 END AS rate,
-         CAST(CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(s.doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) AS DOUBLE) / 281474976710656.0 AS u
-  FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, size, source_size, target,
-       CAST(size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken,
-       CAST(floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) AS copies
-FROM rates
+         CAST(CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(s.doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) AS DOUBLE) / 281474976710656.0 AS h,
+         CAST(CAST('0x' || substr(md5('mix-1:source:' || coalesce(s.source, '')), 1, 12) AS BIGINT) AS DOUBLE) / 281474976710656.0 AS u,
+         CASE WHEN s.size < 8 THEN s.size ELSE length(bin(s.size)) * 4 + ((s.size >> CAST(length(bin(s.size)) - 3 AS BIGINT)) & 3) END AS class
+  FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source),
+placed AS (
+  SELECT *, rate - floor(rate) AS part,
+         row_number() OVER (PARTITION BY source ORDER BY class DESC, floor(h * greatest(1, ceil((SELECT count(*) FROM sized) / 1000000.0))), size DESC, h, doc_id) - 1 AS pos
+  FROM rates),
+drawn AS (
+  SELECT *, CAST(floor(rate) + CASE WHEN floor((pos + 1) * part + u) > floor(pos * part + u) THEN 1 ELSE 0 END AS BIGINT) AS copies FROM placed)
+SELECT doc_id, size, source_size, target, size * copies AS taken, copies FROM drawn
 """
