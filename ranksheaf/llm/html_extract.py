@@ -217,7 +217,10 @@ def variants(html: str, seed: int) -> list[str]:
         for _ in range(2):
             name = bad_names[pick.integers(len(bad_names))]
             words = paragraphs[pick.integers(len(paragraphs))] if pick.random() < 0.6 else bad[pick.integers(len(bad))]
-            block = f'<div class="{name}" data-gold="0"><p>{words}</p></div>'
+            tag = ("div", "section", "ul")[pick.integers(3)]
+            head = f"<h3>{name.title()}</h3>" if pick.random() < 0.5 else ""
+            body = f"<li>{words}</li>" if tag == "ul" else f"<p>{words}</p>"
+            block = f'<{tag} class="{name}" data-gold="0">{head}{body}</{tag}>'
             cuts = [m.start() for m in re.finditer(r"(?i)<p\b", inner)] + [len(inner)]
             cut = cuts[pick.integers(len(cuts))]
             inner = inner[:cut] + block + inner[cut:]
