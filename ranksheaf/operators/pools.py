@@ -89,3 +89,44 @@ def simulated_citations(e: DataFrame, rates: list[float], seed: str = "cite", ra
     rate = F.when(r <= len(rates), F.element_at(F.array(*(F.lit(x) for x in rates)), F.least(r, F.lit(len(rates))).cast("int"))).otherwise(F.greatest(F.lit(0.05), F.lit(rates[-1]) * F.pow(F.lit(0.8), r - len(rates))))
     u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "doc_id", "pos")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     return e.withColumn("cited", (u < rate).cast("long"))
+
+
+def strategies(sizes: tuple[int, ...] = (5, 10, 20), alphas: tuple[float, ...] = (0.3, 0.5, 0.7)) -> dict[str, Column]:
+    """Pool strategies by name: whether a paragraph with ranks rd, rb, rr (fused) and w30, w50, w70 (weighted) is in."""
+    found: dict[str, Column] = {}
+    for n in sizes:
+        d, b = F.col("rd") <= n, F.col("rb") <= n
+        found |= {f"dense_{n}": d, f"bm25_{n}": b, f"union_{n}": d | b, f"intersection_{n}": d & b, f"rrf_{n}": F.col("rr") <= n}
+        found |= {f"weighted{round(100 * a)}_{n}": F.col(f"w{round(100 * a)}") <= n for a in alphas}
+    return found | {"all": F.lit(True)}
+
+
+def strategy_table(ranked: DataFrame, inside: dict[str, Column]) -> DataFrame:
+    """Per strategy: mean pool size, share of questions with any gold, share of gold found, IoU of the whole pool."""
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("strategy"), v.alias("inside")) for k, v in inside.items())))
+    rows = ranked.select("doc_id", "is_gold", "n_gold", each.alias("s")).select("doc_id", "is_gold", "n_gold", "s.*")
+    per = rows.groupBy("strategy", "doc_id", "n_gold").agg(F.count_if("inside").alias("size"), F.count_if(F.col("inside") & (F.col("is_gold") == 1)).alias("found"))
+    return per.groupBy("strategy").agg(
+        F.round(F.avg("size"), 6).alias("size"), F.round(F.avg((F.col("found") > 0).cast("double")), 6).alias("recall"), F.round(F.sum("found") / F.sum("n_gold"), 6).alias("ref_recall"),
+        F.round(F.avg(F.col("found") / (F.col("size") + F.col("n_gold") - F.col("found"))), 6).alias("iou_full"), F.min("size").alias("least"), F.max("size").alias("most"),
+    )
+
+
+def shape(e: DataFrame, score: str = "dense", rank: str = "rd") -> DataFrame:
+    """How a question's scores fall off: gap and ratio to the second, how many are near the top, mean and deviation of five."""
+    w = Window.partitionBy("doc_id").orderBy(rank)
+    top = F.first(score).over(w)
+    rows = e.select("doc_id", rank, F.col(score).alias("s"), top.alias("top"), F.lead(score).over(w).alias("next"))
+    first = F.col(rank) == 1
+    five = F.when(F.col(rank) <= 5, F.col("s"))
+    return rows.groupBy("doc_id").agg(
+        F.round(F.max(F.when(first, F.col("s") - F.col("next"))), 6).alias("gap"), F.round(F.max(F.when(first, F.coalesce(F.try_divide("next", F.greatest("s", F.lit(1e-9))), F.lit(0.0)))), 6).alias("ratio"),
+        F.count_if(F.col("s") >= 0.5 * F.col("top")).alias("over_half"), F.count_if(F.col("s") >= 0.9 * F.col("top")).alias("near_top"), F.round(F.avg(five), 6).alias("mean5"), F.round(F.stddev_pop(five), 6).alias("std5"),
+    )
+
+
+def policy_iou(e: DataFrame, policies: dict[str, Column], rank: str = "rd") -> DataFrame:
+    """Mean IoU when a policy says how many to keep; a policy may use n_gold and the question's shape."""
+    rows = e.withColumn("p", F.explode(F.array(*(F.struct(F.lit(k).alias("policy"), v.cast("long").alias("k")) for k, v in policies.items())))).select("*", "p.policy", "p.k")
+    per = rows.where(F.col(rank) <= F.col("k")).groupBy("policy", "doc_id", "n_gold").agg(F.count(F.lit(1)).alias("size"), F.sum("is_gold").alias("found"))
+    return per.groupBy("policy").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("found") / (F.col("size") + F.col("n_gold") - F.col("found"))), 6).alias("iou"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import product
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,18 +33,45 @@ def question_first(context: Column, question: Column, more: Column | None = None
     return F.concat(F.lit("Question: "), question, F.lit("\n\nContext:\n"), context, *([F.lit("\n\n"), more] if more is not None else []))
 
 
-#: Names of prompt variants: (system text, builder).
-VARIANTS: dict[str, tuple[str, Callable[..., Column]]] = {
-    "plain": ("Answer from the context.", context_first),
-    "question_first": ("Answer from the context.", question_first),
-    "cite": ("Answer from the context and cite paragraphs as [อ้างอิง: numbers].", context_first),
-    "short": ("Answer in one short sentence and cite paragraphs as [อ้างอิง: numbers].", context_first),
+#: What a prompt variant is put together from.
+INSTRUCTIONS = {
+    "plain": "Answer from the context.",
+    "cite": "Answer from the context and cite paragraphs as [อ้างอิง: numbers].",
+    "short": "Answer in one short sentence and cite paragraphs as [อ้างอิง: numbers].",
+    "quote": "Answer with words of the context and cite paragraphs as [อ้างอิง: numbers].",
+    "two_lines": "Write คำตอบ: and the answer, then ย่อหน้าที่ใช้: and the paragraph numbers.",
 }
+ORDERS: dict[str, Callable[..., Column]] = {"context_first": context_first, "question_first": question_first}
+LABELS = {"bracket": "[{}] ", "paragraph": "ย่อหน้า {}: "}
+HINTS = ("none", "places", "answer", "both")
 
 
-def chosen(names: list[str] | None = None) -> dict[str, tuple[str, Callable[..., Column]]]:
-    """All variants, or the named ones."""
-    return VARIANTS if names is None else {n: VARIANTS[n] for n in names}
+class Variant(NamedTuple):
+    """A way to put a prompt together: system text, order of the parts, how paragraphs are numbered, what is hinted."""
+
+    system: str
+    order: str
+    label: str
+    hints: str
+
+    def prompt(self, texts: Column, question: Column, places: Column | None = None, answer: Column | None = None) -> Column:
+        more = []
+        if self.hints in ("places", "both") and places is not None:
+            more += [F.lit("Possibly relevant: "), hint(places)]
+        if self.hints in ("answer", "both") and answer is not None:
+            more += [F.lit("\n" if more else ""), F.lit("Preliminary answer: "), answer]
+        return ORDERS[self.order](numbered(texts, LABELS[self.label]), question, F.concat(*more) if more else None)
+
+
+#: All variants by name: instruction.order.label.hints.
+VARIANTS = {
+    ".".join(parts): Variant(INSTRUCTIONS[parts[0]], *parts[1:]) for parts in product(INSTRUCTIONS, ORDERS, LABELS, HINTS)
+}
+
+
+def chosen(names: list[str] | None = None) -> dict[str, Variant]:
+    """All variants, or those whose name starts with one of the given."""
+    return {n: v for n, v in VARIANTS.items() if names is None or any(n == x or n.startswith(f"{x}.") for x in names)}
 
 
 def message(role: str, content: Column) -> Column:

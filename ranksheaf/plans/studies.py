@@ -38,7 +38,7 @@ def chat_messages(spark, sf_dir):
     c = read(spark, sf_dir, "conversations")
     u = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("q"))
     a = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("r"))
-    system = prompts.chosen()["cite"][0]
+    system = prompts.INSTRUCTIONS["cite"]
     shots = F.array_compact(F.array(F.when(F.col("r").isNotNull(), F.struct(F.col("q").alias("question"), F.col("r").alias("answer")))))
     m = u.join(a, ["conv_id", "turn"], "left").select("conv_id", "turn", prompts.chat(system, F.col("q"), prompts.shot_turns(shots)).alias("m"))
     return m.select("conv_id", "turn", F.size("m").cast("long").alias("n_messages"), F.array_join(F.transform("m", lambda x: F.concat(x["role"], F.lit("="), x["content"])), "\n").alias("chat"))

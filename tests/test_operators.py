@@ -164,7 +164,10 @@ def test_models_plug_in(spark):
 def test_prompts(spark):
     r = spark.range(1).select(prompts.numbered(F.array(F.lit("a"), F.lit("b"))).alias("c"), prompts.hint(F.array().cast("array<int>")).alias("h"), prompts.hint(F.array(F.lit(0), F.lit(2))).alias("i"), prompts.chat("s", F.lit("u")).alias("m"), prompts.question_first(F.lit("c"), F.lit("q")).alias("q")).first()
     assert (r.c, r.h, r.i, [x.role for x in r.m]) == ("[1] a\n[2] b", "—", "1, 3", ["system", "user"]) and r.q.startswith("Question: q")
-    assert list(prompts.chosen(["plain"])) == ["plain"]
+    assert len(prompts.chosen(["cite"])) == 16 and len(prompts.chosen()) == 80
+    v = prompts.VARIANTS["cite.context_first.paragraph.both"]
+    r = spark.range(1).select(v.prompt(F.array(F.lit("a")), F.lit("q"), F.array(F.lit(0)), F.lit("x")).alias("p")).first()
+    assert r.p == "Context:\nย่อหน้า 1: a\n\nPossibly relevant: 1\nPreliminary answer: x\n\nQuestion: q"
 
 
 def test_stream_scores(spark, tmp_path):
