@@ -6,10 +6,13 @@
    least T of K coordinates, but for a chance of about 1e-7. So a node needs T pairs that some other node has
    too, and of these, rarest first, all but T - 1 are its prefix: two such nodes meet in a prefix pair.
    Lists of common values are thereby skipped; agreement in them is counted from the signatures.
-3. Within a list not all pairs are emitted. In the first rounds each node of a list meets the list's pivot
-   only. What is linked then forms components, and only nodes of one list that are still in different
-   components are paired. A group of m near copies costs about m links, not m squared.
-4. A candidate counts its agreeing coordinates, and if there are T, its full shingle sets are intersected.
+3. Shingles that a node shares with no other node bound what it can have in common with any. A node of more
+   than 15 % such shingles leaves, and so on while many leave; a pair whose bounds are too low is no candidate.
+4. Within a list not all pairs are emitted. In a first round each node of a list meets the list's pivot only,
+   the node with the smallest share of shingles of its own, in a second one a pivot by hash. What is linked
+   then forms components, and only nodes of one list that are still in different components are paired. A
+   group of m near copies costs about m links, not m squared.
+5. A candidate counts its agreeing coordinates, and if there are T, its full shingle sets are intersected.
 
 Texts are read twice: for the signatures, and for the sets of nodes that have a prefix. Links, components and
 sets stay in Spark; only counts come to the driver. Hot keys: copies collapse before any join, lists are
@@ -35,7 +38,9 @@ from .common import checked_broadcast, durable, join_with_hot_keys
 
 WORDS, LEAST = 5, 85
 K, T = 64, 39
-ROUNDS = 2
+ROUNDS, PEELS = 2, 3
+#: If both nodes' own shingles are over a share of (100 - LEAST) / LIGHT, the pair's bound is below LEAST %.
+LIGHT = 100 + LEAST
 FACTORS = hashing.mixed(np.arange(1, 4096, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
 
 
@@ -99,8 +104,25 @@ def prefixes(nodes: DataFrame) -> DataFrame:
     return known.select("node", "n", F.inline("known")).select("node", "n", "k", "v")
 
 
-def close_in_size(a: Column, b: Column) -> Column:
-    return (100 * F.least(a, b) >= LEAST * F.greatest(a, b))
+def peeled(sets: DataFrame) -> DataFrame:
+    """node, shared (number of its shingles that stand in some other node too) of the nodes that can have a partner."""
+    alive, before = sets, sets.count()
+    for _ in range(PEELS):
+        each = alive.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("often"), F.min("node").alias("node"))
+        lonely = each.where("often = 1").groupBy("node").agg(F.count(F.lit(1)).alias("lonely"))
+        n = alive.select("node", F.size("shingles").cast("long").alias("n")).join(lonely, "node", "left").withColumn("shared", F.col("n") - F.coalesce("lonely", F.lit(0)))
+        left = durable(n.where(100 * F.col("shared") >= LEAST * F.col("n")).select("node", "shared"))
+        after = left.count()
+        if 10 * after > 9 * before:
+            break
+        alive, before = sets.join(checked_broadcast(left, after), "node", "left_semi"), after
+    return left
+
+
+def may_link(n_a: Column, shared_a: Column, n_b: Column, shared_b: Column) -> Column:
+    """Whether the sets could be similar enough, if all that either shares with any were common to both."""
+    most = F.least(shared_a, shared_b)
+    return 100 * most >= LEAST * (n_a + n_b - most)
 
 
 def confirmed(pairs: DataFrame, signed: DataFrame, sets: DataFrame) -> DataFrame:
@@ -140,19 +162,24 @@ def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = durable(classes.withColumn("node", F.monotonically_increasing_id()))
     posts = durable(prefixes(nodes))
     used = durable(posts.select("node").distinct())
-    n_used, n_posts = used.count(), posts.count()
+    n_used = used.count()
     keys = nodes.select("node", "digest", "doc_id", "signature").join(checked_broadcast(used, n_used), "node", "left_semi")
     wanted = keys.select(F.col("doc_id").alias("_id"))
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(checked_broadcast(wanted.distinct(), n_used), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     found = texts.mapInArrow(_full, "digest binary, shingles array<long>").join(keys.select("node", "digest"), "digest")
     sets = durable(found.groupBy("node").agg(F.first("shingles").alias("shingles")))
+    able = peeled(sets)
+    posts = posts.join(checked_broadcast(able, able.count()), "node").withColumn("post", F.shiftleft(F.col("k").cast("long"), 32) + F.col("v"))
+    posts = durable(posts)
+    n_posts = posts.count()
 
     links, tried, roots = None, None, None
     for turn in range(ROUNDS):
-        first = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n"))
+        order = F.xxhash64("node", F.lit(turn)).cast("double") if turn else F.lit(1.0) - F.col("shared") / F.col("n")
+        first = F.min(F.struct(order.alias("order"), "node", "n", "shared"))
         pivots = posts.groupBy("k", "v").agg(first.alias("p"), F.count(F.lit(1)).alias("often"))
-        pivots = pivots.where("often > 1").select("k", "v", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"), "often")
-        met = join_with_hot_keys(posts, pivots, ["k", "v"], "often", n_posts).where((F.col("pivot") != F.col("node")) & close_in_size(F.col("n"), F.col("pivot_n")))
+        pivots = pivots.where("often > 1").select("k", "v", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.shared").alias("pivot_shared"), "often")
+        met = join_with_hot_keys(posts, pivots, ["k", "v"], "often", n_posts).where((F.col("pivot") != F.col("node")) & may_link(F.col("n"), F.col("shared"), F.col("pivot_n"), F.col("pivot_shared")))
         pairs = met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -164,12 +191,18 @@ def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # the rest: pairs in one list whose nodes are still apart
     placed = posts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     apart = placed.groupBy("k", "v").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo <> _hi").select("k", "v")
-    placed = durable(placed.join(apart, ["k", "v"], "left_semi"))
-    blocks = placed.select("k", "v", "root").distinct()
-    blocks = blocks.join(blocks.withColumnRenamed("root", "root_b"), ["k", "v"]).where("root < root_b")
-    left = placed.select("k", "v", "root", F.col("node").alias("a"), F.col("n").alias("n_a"))
-    right = placed.select("k", "v", F.col("root").alias("root_b"), F.col("node").alias("b"), F.col("n").alias("n_b"))
-    rest = blocks.join(left, ["k", "v", "root"]).join(right, ["k", "v", "root_b"]).where(close_in_size(F.col("n_a"), F.col("n_b")))
+    placed = placed.join(apart, ["k", "v"], "left_semi")
+    # a list's largest component is never paired with itself, and of any pair one node must be light
+    main = placed.groupBy("k", "v", "root").agg(F.count(F.lit(1)).alias("size")).groupBy("k", "v").agg(F.max_by("root", F.struct("size", "root")).alias("main"))
+    placed = placed.join(main, ["k", "v"]).join(posts.groupBy("node").agg(F.collect_list("post").alias("all")), "node")
+    placed = durable(placed.select("k", "v", "post", "root", "node", "n", "shared", "all", (F.col("root") == F.col("main")).alias("main")))
+    side = lambda df, x: df.select("k", "v", *(F.col(c).alias(f"{c}_{x}") for c in ("root", "node", "n", "shared", "all", "post")))
+    light = placed.where(LIGHT * (F.col("n") - F.col("shared")) <= (100 - LEAST) * F.col("n"))
+    rest = side(light.where("main"), "a").join(side(placed.where("NOT main"), "b"), ["k", "v"]).unionByName(side(light.where("NOT main"), "a").join(side(placed, "b"), ["k", "v"]))
+    rest = rest.where((F.col("root_a") != F.col("root_b")) & may_link(F.col("n_a"), F.col("shared_a"), F.col("n_b"), F.col("shared_b")))
+    # a pair is made in the first of the lists that both are in
+    rest = rest.where(F.array_min(F.array_intersect("all_a", "all_b")) == F.col("post_a"))
+    rest = rest.withColumnsRenamed({"node_a": "a", "node_b": "b"})
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     late = durable(confirmed(rest, keys, sets))
     if not late.isEmpty():
