@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -116,19 +117,17 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str]]]:
         if not m:
             break  # the page breaks off inside a tag
         at, closing, tag = m.end(), m[1], m[2].lower()
-        if skip:
-            if closing and tag == skip or skip == "head" and tag in ("body", "article", "div", "p"):
+        if not closing and tag in RAW:
+            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
+            at = end.end() if end else len(html)
+            continue
+        if skip and not (skip == "head" and not closing and tag in ("body", "article", "div", "p")):
+            if closing and tag == skip:
                 skip = ""
-                if tag not in ("body", "article", "div", "p"):
-                    continue
-            else:
-                continue
+            continue
+        skip = ""
         if not closing and tag in SKIPPED and not m[3].endswith("/"):
-            if tag in RAW:
-                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
-                at = end.end() if end else len(html)
-            else:
-                skip = tag
+            skip = tag
             continue
         here.tags += not closing
         if tag == "br":
@@ -168,6 +167,9 @@ def node_features(nodes: list[Node], blocks: list[tuple[Node, str]]) -> list[lis
             links[n.parent.at] += links[n.at]
             tags[n.parent.at] += tags[n.at]
     good, bad, after = [0] * len(nodes), [0] * len(nodes), [0] * len(nodes)
+    # what a node's children have in common, once for all of them
+    tags_of = [Counter(k.tag for k in n.kids) for n in nodes]
+    paragraphs = [sum(k.text for k in n.kids if k.tag == "p") for n in nodes]
     rows = []
     for i, n in enumerate(nodes):
         p = n.parent
@@ -175,13 +177,11 @@ def node_features(nodes: list[Node], blocks: list[tuple[Node, str]]) -> list[lis
         good[i] = int(own_good or (p is not None and good[p.at]))
         bad[i] = int(own_bad or (p is not None and bad[p.at]))
         after[i] = int((own_bad and good[i]) or (p is not None and after[p.at]))
-        kids = p.kids if p else [n]
-        same = sum(k.tag == n.tag for k in kids)
-        near = sum(k.text for k in kids if k.tag == "p")
+        kids, same, near = (len(p.kids), tags_of[p.at][n.tag], paragraphs[p.at]) if p else (1, 1, 0)
         rows.append([
             float(n.tag in GOOD_TAGS), float(n.tag in BAD_TAGS), float(not n.names.isdisjoint(GOOD_NAMES)), float(not n.names.isdisjoint(BAD_NAMES)),
             float(good[i]), float(bad[i]), float(after[i]), math.log1p(n.text), math.log1p(n.below), min(links[i] / max(n.below, 1), 1.0), tags[i] / max(n.below, 1),
-            float(min(n.depth, 12)), math.log1p(len(kids)), i / len(nodes), same / len(kids), math.log1p(near), stops[i] / max(n.text, 1),
+            float(min(n.depth, 12)), math.log1p(kids), i / len(nodes), same / kids, math.log1p(near), stops[i] / max(n.text, 1),
             float(n.tag[0] == "h" and n.tag[1:].isdigit()), float(n.tag in ("li", "option", "td")),
         ])
     return rows
