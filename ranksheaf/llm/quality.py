@@ -1,8 +1,9 @@
 """Quality classifier by importance resampling.
 
 Two generative models over hashed words and word pairs are counted: the target's from labelled good
-documents, the raw one's from all documents. A document's log weight is the sum over its words and pairs of
-log p_target - log p_raw, both shrunk towards the raw model by PRIOR expected occurrences. Documents are then drawn without replacement in proportion to their weight by
+documents, the raw one's from all documents. A document's log weight is the mean over its words and pairs of
+log p_target - log p_raw, both shrunk towards the raw model by PRIOR expected occurrences, times UNITS: every
+document weighs as one of UNITS words and pairs, so that a long one's small deviations don't add up. Documents are then drawn without replacement in proportion to their weight by
 Gumbel top-k: a Gumbel variate, from a hash of the document's id, is added to the log weight and the k largest
 are kept. k is the number of documents whose log weight is above the cut that best parts the labelled ones,
 a lost good document counting LOSS times a kept bad one.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from . import hashing
 from .common import checked_broadcast, durable
 
-BUCKETS, LABELLED, LOSS, PRIOR = 1 << 16, 20_000, 5, 5.0
+BUCKETS, LABELLED, LOSS, PRIOR, UNITS = 1 << 16, 20_000, 10, 20.0, 200.0
 SEED = "gumbel-1"
 
 
@@ -78,7 +79,8 @@ def weighed(docs: DataFrame, ratio: np.ndarray, more: list[str] = ()) -> DataFra
             texts, out = batch.column("text").to_pylist(), []
             for begin, end in hashing.batches(texts):
                 found, owner = buckets_of(texts[begin:end])
-                out.append(np.bincount(owner, ratio[found], end - begin))
+                n = np.bincount(owner, minlength=end - begin)
+                out.append(UNITS * np.bincount(owner, ratio[found], end - begin) / np.maximum(n, 1))
             yield pa.record_batch([*(batch.column(c) for c in ("doc_id", *more)), pa.array(np.round(np.concatenate(out or [np.zeros(0)]), 9))], names=["doc_id", *more, "log_weight"])
 
     kinds = dict(docs.dtypes)
