@@ -125,15 +125,25 @@ def may_link(n_a: Column, shared_a: Column, n_b: Column, shared_b: Column) -> Co
     return 100 * most >= LEAST * (n_a + n_b - most)
 
 
-def confirmed(pairs: DataFrame, signed: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of distinct pairs a, b those that agree in T coordinates and whose sets are similar enough."""
-    side = lambda df, x, column: df.select(F.col("node").alias(x), F.col(column).alias(f"{column}_{x}"))
-    for x in ("b", "a"):
-        pairs = pairs.join(side(signed, x, "signature"), x)
-    agree = F.aggregate(F.zip_with("signature_a", "signature_b", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, x: s + x)
-    pairs = pairs.where(agree >= T).select("a", "b")
+def agreeing(a: str, b: str) -> Column:
+    """In how many coordinates two signatures collide."""
+    return F.aggregate(F.zip_with(a, b, lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, x: s + x)
+
+
+def _with(pairs: DataFrame, nodes: DataFrame, column: str) -> DataFrame:
     for x in ("b", "a"):
-        pairs = pairs.join(side(sets, x, "shingles"), x)
+        pairs = pairs.join(nodes.select(F.col("node").alias(x), F.col(column).alias(f"{column}_{x}")), x)
+    return pairs
+
+
+def matching(pairs: DataFrame, signed: DataFrame) -> DataFrame:
+    """Of pairs a, b those that agree in T coordinates."""
+    return _with(pairs, signed, "signature").where(agreeing("signature_a", "signature_b") >= T).select("a", "b")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of distinct pairs a, b those whose sets are similar enough."""
+    pairs = _with(pairs, sets, "shingles")
     both = F.size(F.array_intersect("shingles_a", "shingles_b"))
     pairs = pairs.select("a", "b", both.alias("both"), (F.size("shingles_a") + F.size("shingles_b")).alias("sum"))
     return pairs.where(100 * F.col("both") >= LEAST * (F.col("sum") - F.col("both"))).select("a", "b")
@@ -184,7 +194,7 @@ def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = durable(pairs)
-        new = durable(confirmed(pairs, keys, sets))
+        new = durable(confirmed(matching(pairs, keys), sets))
         tried = pairs if tried is None else tried.union(pairs)
         links = new if links is None else links.union(new)
     roots = components(links)
@@ -194,17 +204,19 @@ def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     placed = placed.join(apart, ["k", "v"], "left_semi")
     # a list's largest component is never paired with itself, and of any pair one node must be light
     main = placed.groupBy("k", "v", "root").agg(F.count(F.lit(1)).alias("size")).groupBy("k", "v").agg(F.max_by("root", F.struct("size", "root")).alias("main"))
-    placed = placed.join(main, ["k", "v"]).join(posts.groupBy("node").agg(F.collect_list("post").alias("all")), "node")
-    placed = durable(placed.select("k", "v", "post", "root", "node", "n", "shared", "all", (F.col("root") == F.col("main")).alias("main")))
-    side = lambda df, x: df.select("k", "v", *(F.col(c).alias(f"{c}_{x}") for c in ("root", "node", "n", "shared", "all", "post")))
-    light = placed.where(LIGHT * (F.col("n") - F.col("shared")) <= (100 - LEAST) * F.col("n"))
-    rest = side(light.where("main"), "a").join(side(placed.where("NOT main"), "b"), ["k", "v"]).unionByName(side(light.where("NOT main"), "a").join(side(placed, "b"), ["k", "v"]))
+    whole = posts.groupBy("node").agg(F.collect_list("post").alias("all")).join(keys.select("node", "signature"), "node")
+    placed = placed.join(main, ["k", "v"]).join(whole, "node")
+    placed = durable(placed.select("k", "v", "post", "root", "node", "n", "shared", "all", "signature", (F.col("root") == F.col("main")).alias("main")))
+    side = lambda df, x: df.select("k", "v", *(F.col(c).alias(f"{c}_{x}") for c in ("root", "node", "n", "shared", "all", "post", "signature")))
+    placed = placed.withColumn("light", LIGHT * (F.col("n") - F.col("shared")) <= (100 - LEAST) * F.col("n"))
+    light = placed.where("light")
+    rest = side(light.where("main"), "a").join(side(placed.where("NOT main"), "b"), ["k", "v"]).unionByName(side(light.where("NOT main"), "a").join(side(placed.where("NOT (main AND light)"), "b"), ["k", "v"]))
     rest = rest.where((F.col("root_a") != F.col("root_b")) & may_link(F.col("n_a"), F.col("shared_a"), F.col("n_b"), F.col("shared_b")))
-    # a pair is made in the first of the lists that both are in
-    rest = rest.where(F.array_min(F.array_intersect("all_a", "all_b")) == F.col("post_a"))
+    # a pair is made in the first of the lists that both are in, and only if enough coordinates collide
+    rest = rest.where((F.array_min(F.array_intersect("all_a", "all_b")) == F.col("post_a")) & (agreeing("signature_a", "signature_b") >= T))
     rest = rest.withColumnsRenamed({"node_a": "a", "node_b": "b"})
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    late = durable(confirmed(rest, keys, sets))
+    late = durable(confirmed(durable(rest), sets))
     if not late.isEmpty():
         roots = components(links.union(late))
     named = nodes.select("node", "digest", "members", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
