@@ -59,3 +59,14 @@ def test_odd_cases(spark, coder, length):
 def test_ids_are_the_tokenizers(coder, text):
     own = packing.Encoder(PATH).ids([text])[0]
     assert np.frombuffer(own, "<u4").tolist() == coder.encode(text, add_special_tokens=False).ids
+
+
+def test_added_tokens_have_their_own_ids(spark):
+    plain = Tokenizer.from_file(PATH)
+    texts = ["a<|endoftext|> x", "<|endoftext|>", "<|endoftext|><|endoftext|>", "a  <|endoftext|>  b", "a <|endoftext|>\n", "<|endoftext|", "<<|endoftext|>>", "\0<|endoftext|>\0 a", "don't<|endoftext|>'t stop"]
+    assert plain.encode(texts[0], add_special_tokens=False).ids == [64, 50256, 2124]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PATH).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(len(texts)))
+    for r in rows:
+        ids = np.array([*plain.encode(texts[r.doc_id], add_special_tokens=False).ids, 0], "<u4")
+        assert (r.doc_tokens, r.length, r.ids_crc32) == (len(ids), len(ids), zlib.crc32(ids.tobytes())), texts[r.doc_id]
