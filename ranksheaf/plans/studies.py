@@ -51,12 +51,30 @@ def chat_messages(spark, sf_dir):
     )
 )
 def hint_prompt(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents")
+    """The hinted prompt with the document's length in place of its text; hint_prompt_full has the text."""
+    return _hinted(spark, sf_dir, read(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("string").alias("context")))
+
+
+@query(
+    over(
+        EVIDENCE
+        + """, h AS (SELECT doc_id, string_agg(CAST(pos AS VARCHAR), ', ' ORDER BY pos) FILTER (rd <= 3 AND dense > 0.2) AS hint FROM evidence GROUP BY doc_id),
+c AS (SELECT doc_id, string_agg('[' || pos || '] ' || text, chr(10) ORDER BY pos) AS context FROM paras GROUP BY doc_id)""",
+        "SELECT h.doc_id, 'Context:' || chr(10) || context || chr(10) || chr(10) || 'Focus on: ' || coalesce(hint, '—') || chr(10) || chr(10) || 'Question: ' || array_to_string(k.q, ' ') AS prompt FROM h JOIN c USING (doc_id) JOIN asked k USING (doc_id)",
+    )
+)
+def hint_prompt_full(spark, sf_dir):
+    """The hinted prompt over all paragraphs of the document."""
+    return _hinted(spark, sf_dir, prompts.contexts(_paragraphs(spark, sf_dir), ["doc_id"]).select("doc_id", "context"))
+
+
+def _hinted(spark: SparkSession, sf_dir: str, contexts: DataFrame) -> DataFrame:
+    """Per question: the document's context (doc_id, context), the places of the best paragraphs and the question."""
     e = _evidence(spark, sf_dir)
     h = e.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.when((F.col("rd") <= 3) & (F.col("dense") > 0.2), (F.col("pos") - 1).cast("int")))).alias("idx"))
-    q = ev.questioned(docs).select("doc_id", F.array_join("q", " ").alias("q"))
-    rows = h.join(q, "doc_id").join(docs.select("doc_id", F.length("text").cast("string").alias("len")), "doc_id")
-    return rows.select("doc_id", prompts.context_first(F.col("len"), F.col("q"), F.concat(F.lit("Focus on: "), prompts.hint(F.col("idx")))).alias("prompt"))
+    q = ev.questioned(read(spark, sf_dir, "documents")).select("doc_id", F.array_join("q", " ").alias("q"))
+    rows = h.join(q, "doc_id").join(contexts, "doc_id")
+    return rows.select("doc_id", prompts.context_first(F.col("context"), F.col("q"), F.concat(F.lit("Focus on: "), prompts.hint(F.col("idx")))).alias("prompt"))
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:

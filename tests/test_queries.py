@@ -19,6 +19,16 @@ def test_gives_rows(spark, name):
     assert registry.QUERIES[name](spark, SMALL).count() > 0
 
 
+def test_hinted_prompts_hold_the_documents(spark):
+    context = {r.doc_id: r.context for r in registry.QUERIES["prompt_context"](spark, SMALL).collect()}
+    short = {r.doc_id: r.prompt for r in registry.QUERIES["hint_prompt"](spark, SMALL).collect()}
+    rows = registry.QUERIES["hint_prompt_full"](spark, SMALL).collect()
+    assert len(rows) == len(short) > 0
+    for r in rows:
+        asked = short[r.doc_id].partition("\n\n")[2]
+        assert r.prompt == f"Context:\n{context[r.doc_id]}\n\n{asked}"
+
+
 def test_entry_works_without_the_optional_part(tmp_path):
     import shutil
 
