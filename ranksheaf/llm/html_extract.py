@@ -7,7 +7,7 @@ node's own text is main text. The decoding then finds, in one pass up and one do
 assignment of the states "around", "main" and "left out" in which main text may hold left-out parts, but
 nothing below a left-out node is main text again: an ancestor's and a descendant's choice never contradict.
 
-Training rows come from a sample of at most SAMPLE pages, by hash of the page's id. Their labels follow from
+Training rows come from a sample of at most SAMPLE of the pages that lend rows, by hash of the page's id. Their labels follow from
 the elements whose meaning the standard fixes (article and main against nav, footer, aside, form and the like)
 and from what was done to the page: each sampled page is also used in VARIANTS forms in which article and menu
 become plain or named div elements and boilerplate blocks under other names stand inside the article, so that
@@ -313,7 +313,22 @@ def train(pages: DataFrame, sample: int = SAMPLE) -> Trees | Names:
                         rows += [(v, float(bool(g))) for n, v, g in zip(nodes, values, marks, strict=True) if n.text]
             yield pa.record_batch([pa.array([r[0] for r in rows], pa.list_(pa.float64())), pa.array([r[1] for r in rows], pa.float64())], names=["features", "label"])
 
-    some = pages.orderBy(F.md5(F.coalesce(F.col("page_id").cast("string"), F.lit("")))).limit(sample).select("html")
+    def lending(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tables:
+            yield batch.filter(pa.array([1 in gold(parse(html)[0]) for html in batch.column("html").to_pylist()], pa.bool_()))
+
+    def first(rows: DataFrame) -> DataFrame:
+        # the last key is found without the pages, so that no task gets the first pages of every partition
+        last = rows.select("key").orderBy("key").limit(sample).agg(F.max("key")).first()[0]
+        return rows.where(F.col("key") <= F.lit(last)).orderBy("key").limit(sample)
+
+    key = F.md5(F.coalesce(F.col("page_id").cast("string"), F.lit("")))
+    named = pages.where(F.col("html").rlike(r'(?i)<(article|main)\b|data-gold="1"')).select(key.alias("key"), "html")
+    some = durable(first(named).mapInArrow(lending, "key string, html string"))
+    if some.count() < sample < named.count():
+        # not all of the first pages lend rows, so the others are looked at as well
+        some = durable(first(named.mapInArrow(lending, "key string, html string")))
+    some = some.select("html")
     rows = durable(some.mapInArrow(work, "features array<double>, label double"))
     if rows.select("label").distinct().count() < 2:
         return Names()

@@ -167,6 +167,14 @@ def test_decoding_is_the_best_assignment():
         assert value(chance, html_extract.decode(nodes, chance)) == pytest.approx(best)
 
 
+def test_training_pages_are_drawn_from_those_with_labels(spark):
+    plain = [(i, "<div><p>No label here.</p></div>") for i in range(300)] + [(300 + i, "<!-- <article> --><p>None here.</p>") for i in range(300)]
+    good = [(1000 + i, f"<nav><a href=/>Home</a></nav><article><p>{LINES}</p></article>") for i in range(8)]
+    pages = spark.createDataFrame(plain + good, "page_id long, html string")
+    assert isinstance(html_extract.train(pages, 4), html_extract.Trees)
+    assert isinstance(html_extract.train(pages.where("page_id < 1000"), 4), html_extract.Names)
+
+
 def test_pages_odd_cases(spark, trees):
     rows = [(1, "u", None), (2, None, ""), (None, "u", "<p>x"), (4, "u", "<article>" + "<p>word one, two.</p>" * 20_000), (5, "u", "<article><p>same text here, all the same.</p>"), (5, "u", "<article><p>same text here, all the same.</p>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"text": F.lit("clash"), "n_chars": F.lit(-1)})
