@@ -47,6 +47,11 @@ BLOCKS = frozenset("""address article aside blockquote body center dd details di
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIPPED = frozenset("script style noscript template iframe object svg math canvas head title textarea".split())
 RAW = frozenset("script style title textarea iframe noscript".split())
+#: What may stand in the head beside RAW elements; elements that end an unclosed svg or math, and those of svg and math that hold HTML again.
+IN_HEAD = frozenset("base basefont bgsound link meta template head html noframes script style title noscript".split())
+BREAKS_OUT = BLOCKS | frozenset("b big body br code em embed head i img listing meta nobr ruby s small span strike strong sub sup tt u var".split())
+HOLDS_HTML = frozenset("foreignobject desc mi mo mn ms mtext annotation-xml".split())
+REPEATED = frozenset("li dd dt tr td th option".split())
 CLOSES_P = BLOCKS - frozenset("body html button label option".split())
 GOOD_TAGS = frozenset("article main".split())
 BAD_TAGS = frozenset("nav footer aside form header menu select button fieldset dialog".split())
@@ -78,7 +83,11 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str]]]:
     """Block elements in page order, and the blocks of text with the node that owns each."""
     root = Node("body", None)
     nodes, blocks, run = [root], [], []
-    here, skip, link, at = root, "", 0, 0
+    here, skip, link, at, in_head = root, "", 0, 0, False
+    # how often inline elements are open, and all elements within a skipped one
+    inline: Counter[str] = Counter()
+    inner: list[str] = []
+    within: Counter[str] = Counter()
 
     def flush() -> None:
         if run:
@@ -88,12 +97,28 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str]]]:
                 blocks.append((here, text))
                 here.text += len(text)
 
+    def is_open(tag: str) -> bool:
+        up = here
+        while up.parent and up.tag != tag:
+            up = up.parent
+        return up.parent is not None or inline[tag] > 0 or tag in ("body", "html") or (in_head and tag == "head")
+
+    def ends_skipped(tag: str) -> bool:
+        """Whether a start tag ends the unclosed skipped element."""
+        if skip in ("svg", "math"):
+            return tag in BREAKS_OUT and not any(within[x] for x in HOLDS_HTML)
+        if skip == "canvas" and not inner:
+            return (tag in CLOSES_P and here.tag == "p") or (tag in REPEATED and here.tag == tag)
+        return in_head and tag == "body"
+
     while at < len(html):
         lt = html.find("<", at)
         if lt < 0:
             lt = len(html)
         if lt > at:
-            if not skip:
+            if in_head and not skip and not html[at:lt].isspace():
+                in_head = False
+            if not skip and not in_head:
                 run.append(html[at:lt])
                 if link:
                     here.links += lt - at
@@ -109,31 +134,62 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str]]]:
             at = end + 1 if end >= 0 else len(html)
             continue
         if not (after.isascii() and after.isalpha()) and not (after == "/" and html[at + 2 : at + 3].isalpha()):
+            in_head = in_head and bool(skip)
             if not skip:
                 run.append("<" if after != "/" else "")
             at += 1 if after != "/" else 2
             continue
+        if after == "/" and not html[at + 2].isascii():
+            end = html.find(">", at)
+            at = end + 1 if end >= 0 else len(html)
+            continue
         m = _tag.match(html, at) or _loose.match(html, at)
         if not m:
             break  # the page breaks off inside a tag
         at, closing, tag = m.end(), m[1], m[2].lower()
+        if in_head and not skip and ((tag in ("body", "html", "br")) if closing else tag not in IN_HEAD):
+            in_head = False
         if not closing and tag in RAW:
+            if skip in ("svg", "math") and m[3].endswith("/"):
+                continue
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
             at = end.end() if end else len(html)
             continue
-        if skip and not (skip == "head" and not closing and tag in ("body", "article", "div", "p")):
+        if skip:
+            if closing and within[tag]:
+                while (last := inner.pop()) != tag:
+                    within[last] -= 1
+                within[tag] -= 1
+                continue
             if closing and tag == skip:
                 skip = ""
+                inner.clear()
+                within.clear()
+                continue
+            if not (is_open(tag) if closing else ends_skipped(tag)):
+                if not closing and tag not in VOID and not m[3].endswith("/"):
+                    inner.append(tag)
+                    within[tag] += 1
+                continue
+            skip = ""
+            inner.clear()
+            within.clear()
+            in_head = in_head and tag not in ("body", "html")
+        if not closing and tag == "head":
+            in_head = True
             continue
-        skip = ""
         if not closing and tag in SKIPPED and not m[3].endswith("/"):
             skip = tag
             continue
+        if in_head:
+            in_head = not (closing and tag == "head")
+            continue
         here.tags += not closing
         if tag == "br":
             run.append(" ")
         elif tag == "a":
             link = 0 if closing else 1
+            inline[tag] = link
         elif tag in BLOCKS and tag not in ("html", "body"):
             flush()
             link = 0
@@ -146,11 +202,15 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str]]]:
             elif tag != "hr":
                 if tag in CLOSES_P and here.tag == "p":
                     here = here.parent
-                if tag in ("li", "dd", "dt", "tr", "td", "th", "option") and here.tag == tag:
+                if tag in REPEATED and here.tag == tag:
                     here = here.parent
                 here = Node(tag, here, m[3])
                 here.parent.kids.append(here)
                 nodes.append(here)
+        elif not closing:
+            inline[tag] += tag not in VOID
+        elif inline[tag]:
+            inline[tag] -= 1
     flush()
     return nodes, blocks
 

@@ -135,6 +135,19 @@ def test_parsing(html, blocks):
     assert [t for _, t in html_extract.parse(html)[1]] == blocks
 
 
+@pytest.mark.parametrize(
+    "html,blocks",
+    [
+        ("<head><title>x</title><main><h1>Heading</h1><p>a</main>", ["Heading", "a"]), ("<head><title>x</title><section>a</section>", ["a"]), ("<head> <meta x>text<p>a", ["text", "a"]), ("<head><template><div>no</div></template></head>a", ["a"]),
+        ("<head><template><div>no</head><p>a", ["a"]), ("<div><svg><path d=x></div><p>a", ["a"]), ("<main><svg><path d=x><p>a</main>b", ["a", "b"]), ("<svg><svg/><svg><text>no</text></svg>no</svg>a", ["a"]), ("<svg><foreignObject><p>no</p></foreignObject></svg>a", ["a"]),
+        ("<svg><title/><text>no</text></svg>a", ["a"]), ("<div><canvas>no</div><p>a", ["a"]), ("<span><canvas>no</span>a", ["a"]), ("<p>a<canvas>no<p>b", ["a", "b"]), ("<div><object><div>no</div>no</object>a</div>", ["a"]), ("<div><object><p>no</div>a", ["a"]),
+        ("<div><math><mi>x</mi></div>a", ["a"]), ("<div><template><p>no</div>a", ["a"]), ("a</é x='1'>b<p>c", ["ab", "c"]), ("a<b></é>b</b>", ["ab"]), ("<head><link x></head><p>a", ["a"]),
+    ],
+)
+def test_unclosed_parts_lose_no_text(html, blocks):
+    assert [t for _, t in html_extract.parse(html)[1]] == blocks
+
+
 def test_nothing_below_a_left_out_node_is_main():
     nodes, blocks = html_extract.parse("<article><p>aaa</p><div><p>bbb</p><p>ccc</p></div></article>")
     rng = np.random.default_rng(1)
