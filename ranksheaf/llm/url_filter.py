@@ -13,7 +13,8 @@ Only urls and labels are read. Counts are combined before any shuffle; pages mee
 hottest hosts broadcast (at most 1,000, by the share of rows they hold) and the rest shuffled by host.
 
 Defined cases: a null url, or one without ://, has an empty host and path, meets no rule and is judged by the
-reputation of the empty host; a null or unmatched label is no outcome; several labels of a page all count;
+reputation of the empty host; an unmatched label, or one with null quality and null toxic, is no
+outcome (the SQL counts such nulls as good); several labels of a page all count;
 repeated rows each count and are each judged; no rows give no rows; other columns are not read.
 """
 
@@ -93,7 +94,7 @@ def url_filter(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]]
     url = F.col("url")
     judged = durable(pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path")).withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)))
     bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
-    marks = labels.select(F.col("doc_id").alias("page_id"), F.coalesce(bad, F.lit(False)).cast("long").alias("_bad")).where("page_id IS NOT NULL")
+    marks = labels.where("quality IS NOT NULL OR toxic IS NOT NULL").select(F.col("doc_id").alias("page_id"), F.coalesce(bad, F.lit(False)).cast("long").alias("_bad")).where("page_id IS NOT NULL")
     marks = marks.groupBy("page_id").agg(F.sum("_bad").alias("_bad"), F.count(F.lit(1)).alias("_n"))
     per_host = durable(
         judged.join(marks, "page_id", "left").groupBy("host").agg(

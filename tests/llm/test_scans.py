@@ -105,6 +105,15 @@ def test_reputation_shrinks(spark):
     assert url_filter.url_filter(df.limit(0), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).count() == 0
 
 
+def test_null_labels_are_no_outcomes(spark):
+    pages = spark.createDataFrame([(i, f"http://bad.spam.org/{i}") for i in range(80)], "page_id long, url string")
+    labels = [(i, 0, 0) for i in range(19)] + [(19, None, 1)]
+    nulls = [(i, None, None) for i in range(20, 80)]
+    marked, more = (spark.createDataFrame(x, "doc_id long, quality int, toxic int") for x in (labels, labels + nulls))
+    for found in (url_filter.url_filter(pages, marked), url_filter.url_filter(pages, more)):
+        assert {(r.labelled, r.verdict) for r in found.collect()} == {(20, "block")}
+
+
 @pytest.mark.parametrize("host,domain", [("a.b.c.org", "c.org"), ("org", "org"), ("", "")])
 def test_domains(spark, host, domain):
     out = spark.createDataFrame([(host, 1, 0, 0)], "host string, pages long, bad long, n long")
