@@ -55,10 +55,12 @@ def percentiles(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
 
 
 def index_percentile(df: DataFrame, column: str, keys: list[str], share: float) -> DataFrame:
-    """The value at floor(share * n) of the sorted values, clamped, per group."""
+    """The value at floor(share * n) of the sorted values, clamped, per group; rows are counted per value before any sort."""
     w = Window.partitionBy(*keys)
-    rows = df.withColumn("_rn", F.row_number().over(w.orderBy(column))).withColumn("_n", F.count(F.lit(1)).over(w))
-    return rows.where(F.col("_rn") == F.least(F.floor(F.lit(share) * F.col("_n")) + 1, F.col("_n"))).select(*keys, F.col(column).alias("value"))
+    per = df.groupBy(*keys, column).agg(F.count(F.lit(1)).alias("_c"))
+    per = per.withColumn("_upto", F.sum("_c").over(w.orderBy(column))).withColumn("_n", F.sum("_c").over(w))
+    at = F.least(F.floor(F.lit(share) * F.col("_n")) + 1, F.col("_n"))
+    return per.where((F.col("_upto") >= at) & (F.col("_upto") - F.col("_c") < at)).select(*keys, F.col(column).alias("value"))
 
 
 def over_budgets(df: DataFrame, column: str, budgets: list[int]) -> DataFrame:

@@ -189,3 +189,13 @@ def test_scores_need_one_shuffle_of_documents(spark):
     d = spark.read.parquet(f"{SMALL}/documents.parquet")
     plan = evidence.evidence(d)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+
+
+@pytest.mark.parametrize("share", [0.0, 0.5, 0.9, 1.0])
+def test_index_percentile_counts_values_before_it_sorts(spark, share):
+    groups = {"a": [3, 1, 1, 1, None, 2, 2, 9], "b": [5], "c": [None], None: [4, 4, 7]}
+    df = spark.createDataFrame([(g, x) for g, xs in groups.items() for x in xs], "source string, n long")
+    out = analysis.index_percentile(df, "n", ["source"], share)
+    ordered = {g: sorted(xs, key=lambda x: (x is not None, x or 0)) for g, xs in groups.items()}
+    assert sorted(map(repr, ((r.source, r.value) for r in out.collect()))) == sorted(repr((g, xs[min(int(share * len(xs)), len(xs) - 1)])) for g, xs in ordered.items())
+    assert "partial_count" in out._jdf.queryExecution().executedPlan().toString()
