@@ -1,11 +1,12 @@
 import json
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import SMALL
-from ranksheaf.operators import analysis, evidence, inference, pools, prompts
+from ranksheaf.operators import analysis, evidence, inference, pools, prompts, vectors
 from ranksheaf.sources import corpus, sinks
 from ranksheaf.streaming import scoring
 
@@ -199,3 +200,19 @@ def test_index_percentile_counts_values_before_it_sorts(spark, share):
     ordered = {g: sorted(xs, key=lambda x: (x is not None, x or 0)) for g, xs in groups.items()}
     assert sorted(map(repr, ((r.source, r.value) for r in out.collect()))) == sorted(repr((g, xs[min(int(share * len(xs)), len(xs) - 1)])) for g, xs in ordered.items())
     assert "partial_count" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nearest_meets_a_block_in_parts(spark):
+    rows = [(i, i % 3, [float((i * k) % 7) for k in range(1, 5)]) for i in range(600)]
+    v = vectors.placed(spark.createDataFrame(rows, "vec_id long, label long, embedding array<double>"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = vectors.nearest(v, 2)
+        found = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in out.collect()}
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert re.search(r"hashpartitioning\(block#\d+L?, part#\d+L?", plan)
+    for q in range(0, 600, 50):
+        best = sorted((-sum(a * b for a, b in zip(rows[q][2], r[2], strict=True)), r[0]) for r in rows if r[0] // 25 != q // 25)[:2]
+        assert [found[q, k] for k in (1, 2)] == [(i, -s) for s, i in best]
