@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -23,22 +24,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one is set only where none is (tests on one machine)."""
+    """The cluster's checkpoint folder; a temporary one is set only on one machine, and only where none is."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return context.getCheckpointDir()
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a folder in the shared store once nothing reads it any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Computed once and kept in the shared folder: a lost executor costs its running tasks only."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
-def durable_table(df: DataFrame) -> DataFrame:
-    """Like durable(), as compressed Parquet, for wide rows."""
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+def durable_table(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """Like durable(), as compressed Parquet, for wide rows and for loops; in a folder that its caller deletes, if given."""
+    path = f"{folder or shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -53,6 +63,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
 
+def one_each(rows: DataFrame, more: list[str]) -> DataFrame:
+    """One row per doc_id, that with the least hash of its text; rows of a frequent id are combined before the shuffle."""
+    return rows.groupBy("doc_id", *more).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+
 def checked_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """With a broadcast hint if its counted rows allow it; otherwise as it is, for a shuffled join."""
     return F.broadcast(df) if rows <= limit else df

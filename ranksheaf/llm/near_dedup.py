@@ -26,6 +26,7 @@ never names it unless the class has no other; no rows give no rows; other column
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import checked_broadcast, durable, join_with_hot_keys
+from .common import checked_broadcast, delete, durable, durable_table, join_with_hot_keys, shared_dir
 
 WORDS, LEAST = 5, 85
 K, T = 64, 39
@@ -150,17 +151,44 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, root for every node that has a link; root is the smallest node reachable. Labels spread and are followed until none changes."""
-    ways = durable(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = durable(ways.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).select(F.col("a").alias("node"), "root"))
-    while True:
-        near = ways.join(labels.select(F.col("node").alias("b"), F.col("root").alias("_near")), "b").groupBy("a").agg(F.min("_near").alias("_near"))
-        new = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("root").alias("_was"), F.least("root", "_near").alias("_to"))
-        jump = labels.select(F.col("node").alias("_to"), F.col("root").alias("_on"))
-        new = durable(new.join(jump, "_to").select("node", F.least("_to", "_on").alias("root"), (F.least("_to", "_on") != F.col("_was")).alias("_new")))
-        labels = new.select("node", "root")
-        if new.where("_new").isEmpty():
-            return labels
+    """node, root for every node that has a link; root is the smallest node reachable.
+
+    In each round every vertex is hooked to its neighbour of least rank, if that is below its own, the chains of
+    hooks are followed to their ends by pointer jumping, and each tree becomes one vertex. Ranks are hashes, so
+    at least half of the vertices with a link hook in a round on average, whatever the ids and the graph's
+    shape: rounds are logarithmic in the number of nodes. Steps are kept as tables, not as checkpoints, which
+    carry the constraints of all plans before them along.
+    """
+    spark = links.sparkSession
+    folder = f"{shared_dir(spark)}/rounds-{uuid.uuid4().hex}"
+    kept = lambda df: durable_table(df, folder)
+    rank = lambda c: F.struct(F.xxhash64(c).alias("rank"), F.col(c).alias("node"))
+    edges = kept(links.where("a <> b").select("a", "b").distinct())
+    found = None
+    while not edges.isEmpty():
+        ways = edges.select("a", "b").union(edges.select("b", "a"))
+        least = ways.groupBy("a").agg(F.min(rank("b")).alias("near"), F.first(rank("a")).alias("own"))
+        to = kept(least.select(F.col("a").alias("node"), F.when(F.col("near") < F.col("own"), F.col("near.node")).otherwise(F.col("a")).alias("root")))
+        while True:
+            on = to.select(F.col("node").alias("root"), F.col("root").alias("_on"))
+            new = kept(to.join(on, "root").select("node", F.col("_on").alias("root"), (F.col("_on") != F.col("root")).alias("_new")))
+            to = new.select("node", "root")
+            if new.where("_new").isEmpty():
+                break
+        for x in ("a", "b"):
+            edges = edges.join(to.select(F.col("node").alias(x), F.col("root").alias(f"_{x}")), x).drop(x).withColumnRenamed(f"_{x}", x)
+        edges = kept(edges.where("a <> b").select("a", "b").distinct())
+        if found is None:
+            found = to
+        else:
+            later = to.select(F.col("node").alias("root"), F.col("root").alias("_on"))
+            found = kept(found.join(later, "root", "left").select("node", F.coalesce("_on", "root").alias("root")))
+    if found is None:
+        found = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    named = kept(found.groupBy("root").agg(F.min("node").alias("_least"), F.count(F.lit(1)).alias("_n")))
+    out = durable_table(join_with_hot_keys(found, named, ["root"], "_n", found.count()).select("node", F.col("_least").alias("root")))
+    delete(spark, folder)
+    return out
 
 
 def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import pytest
@@ -83,6 +84,23 @@ def test_components_follow_chains(spark):
     assert roots == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
 
 
+@pytest.mark.parametrize("order", ["descending", "random", "zigzag"])
+def test_components_take_few_rounds_on_long_paths(spark, monkeypatch, order):
+    n = 1600
+    path = {"descending": [0, *range(n - 1, 0, -1)], "random": random.Random(5).sample(range(n), n), "zigzag": [x for i in range(n // 2) for x in (i, n - 1 - i)]}[order]
+    rounds = []
+    plainly = near_dedup.durable_table
+    monkeypatch.setattr(near_dedup, "durable_table", lambda df, *more: rounds.append(1) or plainly(df, *more))
+    rows = [*zip(path, path[1:], strict=False), (n + 1, n + 2), (n + 2, n + 3), (n + 3, n + 1)]
+    roots = {r.node: r.root for r in near_dedup.components(spark.createDataFrame(rows, "a long, b long")).collect()}
+    assert roots == {**dict.fromkeys(range(n), 0), n + 1: n + 1, n + 2: n + 1, n + 3: n + 1}
+    assert len(rounds) < 60
+
+
+def test_components_of_no_links(spark):
+    assert near_dedup.components(spark.createDataFrame([(3, 3)], "a long, b long")).count() == 0
+
+
 def test_near_keeps_rows_whole(spark):
     docs = odd_documents(spark)
     kept = near_dedup.keep_representatives(docs.where("doc_id IS NOT NULL"))
