@@ -14,8 +14,9 @@ become plain or named div elements and boilerplate blocks under other names stan
 the trees must weigh density, names and ancestors against each other. A page without such elements lends no rows.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are trimmed, empty
-ones go, and the rest is joined in page order by an empty line. Scripts, styles, comments and the head are never
-text. Pages run through Arrow batches with no shuffle; a batch's nodes are scored together.
+ones go, and the rest is joined in page order by an empty line. Scripts, styles, comments, the head, titles, text
+fields and what browsers never show (templates, the source inside an iframe) are never text; formulas, drawings'
+labels and the fallback of objects, canvases and noscript are. Pages run through Arrow batches with no shuffle; a batch's nodes are scored together.
 
 Defined cases: null or empty html gives the empty text; text outside any element is a block of the body;
 unclosed, stray and cut-off tags are repaired as browsers do in the main; with no page to train on, elements
@@ -45,12 +46,9 @@ SAMPLE, VARIANTS = 400, 4
 BLOCKS = frozenset("""address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3
     h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul button label""".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("script style noscript template iframe object svg math canvas head title textarea".split())
-RAW = frozenset("script style title textarea iframe noscript".split())
-#: What may stand in the head beside RAW elements; elements that end an unclosed svg or math, and those of svg and math that hold HTML again.
+RAW = frozenset("script style title textarea iframe".split())
+#: What may stand in the head.
 IN_HEAD = frozenset("base basefont bgsound link meta template head html noframes script style title noscript".split())
-BREAKS_OUT = BLOCKS | frozenset("b big body br code em embed head i img listing meta nobr ruby s small span strike strong sub sup tt u var".split())
-HOLDS_HTML = frozenset("foreignobject desc mi mo mn ms mtext annotation-xml".split())
 REPEATED = frozenset("li dd dt tr td th option".split())
 CLOSES_P = BLOCKS - frozenset("body html button label option".split())
 GOOD_TAGS = frozenset("article main".split())
@@ -83,8 +81,8 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str]]]:
     """Block elements in page order, and the blocks of text with the node that owns each."""
     root = Node("body", None)
     nodes, blocks, run = [root], [], []
-    here, skip, link, at, in_head = root, "", 0, 0, False
-    # how often inline elements are open, and all elements within a skipped one
+    here, link, at, in_head = root, 0, 0, False
+    # how often inline elements are open, and the elements within a template, itself included
     inline: Counter[str] = Counter()
     inner: list[str] = []
     within: Counter[str] = Counter()
@@ -103,22 +101,14 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str]]]:
             up = up.parent
         return up.parent is not None or inline[tag] > 0 or tag in ("body", "html") or (in_head and tag == "head")
 
-    def ends_skipped(tag: str) -> bool:
-        """Whether a start tag ends the unclosed skipped element."""
-        if skip in ("svg", "math"):
-            return tag in BREAKS_OUT and not any(within[x] for x in HOLDS_HTML)
-        if skip == "canvas" and not inner:
-            return (tag in CLOSES_P and here.tag == "p") or (tag in REPEATED and here.tag == tag)
-        return in_head and tag == "body"
-
     while at < len(html):
         lt = html.find("<", at)
         if lt < 0:
             lt = len(html)
         if lt > at:
-            if in_head and not skip and not html[at:lt].isspace():
+            if in_head and not inner and not html[at:lt].isspace():
                 in_head = False
-            if not skip and not in_head:
+            if not inner and not in_head:
                 run.append(html[at:lt])
                 if link:
                     here.links += lt - at
@@ -134,8 +124,8 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str]]]:
             at = end + 1 if end >= 0 else len(html)
             continue
         if not (after.isascii() and after.isalpha()) and not (after == "/" and html[at + 2 : at + 3].isalpha()):
-            in_head = in_head and bool(skip)
-            if not skip:
+            in_head = in_head and bool(inner)
+            if not inner:
                 run.append("<" if after != "/" else "")
             at += 1 if after != "/" else 2
             continue
@@ -147,39 +137,36 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str]]]:
         if not m:
             break  # the page breaks off inside a tag
         at, closing, tag = m.end(), m[1], m[2].lower()
-        if in_head and not skip and ((tag in ("body", "html", "br")) if closing else tag not in IN_HEAD):
+        empty = m[3].endswith("/")
+        if in_head and not inner and ((tag in ("body", "html", "br")) if closing else tag not in IN_HEAD):
             in_head = False
         if not closing and tag in RAW:
-            if skip in ("svg", "math") and m[3].endswith("/"):
+            if empty and (inline["svg"] or inline["math"]):
                 continue
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
             at = end.end() if end else len(html)
             continue
-        if skip:
+        if inner:
             if closing and within[tag]:
                 while (last := inner.pop()) != tag:
                     within[last] -= 1
                 within[tag] -= 1
                 continue
-            if closing and tag == skip:
-                skip = ""
-                inner.clear()
-                within.clear()
-                continue
-            if not (is_open(tag) if closing else ends_skipped(tag)):
-                if not closing and tag not in VOID and not m[3].endswith("/"):
+            # an unclosed template ends with an element around it, or with the head
+            if not (is_open(tag) if closing else in_head and tag == "body"):
+                if not closing and tag not in VOID and not empty:
                     inner.append(tag)
                     within[tag] += 1
                 continue
-            skip = ""
             inner.clear()
             within.clear()
             in_head = in_head and tag not in ("body", "html")
         if not closing and tag == "head":
             in_head = True
             continue
-        if not closing and tag in SKIPPED and not m[3].endswith("/"):
-            skip = tag
+        if not closing and tag == "template":
+            inner.append(tag)
+            within[tag] += 1
             continue
         if in_head:
             in_head = not (closing and tag == "head")
@@ -208,7 +195,7 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str]]]:
                 here.parent.kids.append(here)
                 nodes.append(here)
         elif not closing:
-            inline[tag] += tag not in VOID
+            inline[tag] += tag not in VOID and not empty
         elif inline[tag]:
             inline[tag] -= 1
     flush()

@@ -7,8 +7,8 @@ obfuscated words (symbols or digits among letters; read back as letters they are
 out letters.
 
 Training rows are a sample, by hash of their id, of at most LABELLED labelled documents with crc32(doc_id as
-text) mod 3 other than 1. One in CALIBRATE of them is kept from the trees for the isotonic regression. Features
-are computed in Arrow batches; trees and calibration are Spark's own and score in the JVM. Labels, language,
+text) mod 3 other than 1 (of rows with the same id one is used). One in CALIBRATE of them is kept from the learned
+lexicon and the trees for the isotonic regression. Features are computed in Arrow batches; trees and calibration are Spark's own and score in the JVM. Labels, language,
 source and doc_id enter no score.
 
 Defined cases: null counts as empty; an empty text gets the score of a text without words; a document with
@@ -31,7 +31,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, one_each
 
 LABELLED, CALIBRATE, NEAR, THRESHOLD = 20_000, 4, 5, 0.7
 #: Learned lexicon: least number of toxic documents, least ratio of the shares, most entries, lengths of beginnings.
@@ -126,9 +126,10 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     fold = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     sample = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~fold).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sample = sample.orderBy(F.md5(F.col("doc_id").cast("string"))).limit(LABELLED)
-    known = durable(docs.join(F.broadcast(sample), "doc_id"))
-    lexicon = learned_lexicon(known)
-    train = durable(featured(known, lexicon, ["toxic"]).withColumn("apart", F.conv(F.substring(F.md5(F.concat(F.lit("fold:"), F.col("doc_id").cast("string"))), 1, 6), 16, 10).cast("long") % CALIBRATE == 0))
+    known = one_each(docs.join(F.broadcast(sample), "doc_id"), ["toxic"])
+    known = durable(known.withColumn("apart", F.conv(F.substring(F.md5(F.concat(F.lit("fold:"), F.col("doc_id").cast("string"))), 1, 6), 16, 10).cast("long") % CALIBRATE == 0))
+    lexicon = learned_lexicon(known.where("NOT apart"))
+    train = durable(featured(known, lexicon, ["toxic", "apart"]))
     held = docs.select("doc_id", "text")
     shares = {(r["apart"], r["toxic"]) for r in train.select("apart", "toxic").distinct().collect()}
     if len({t for _, t in shares}) < 2 or len({t for apart, t in shares if not apart}) < 2:

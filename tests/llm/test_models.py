@@ -1,7 +1,10 @@
 """Quality, toxicity and HTML extraction: held-out accuracy, contracts and odd cases."""
 
+import hashlib
 import html as markup
+import math
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -49,6 +52,45 @@ def test_the_reported_fold_has_no_influence(spark):
     assert a == b
 
 
+def gumbel(doc_id):
+    u = (int(hashlib.md5(f"{quality.SEED}:{'' if doc_id is None else doc_id}".encode()).hexdigest()[:12], 16) + 0.5) / (1 << 48)
+    return -math.log(-math.log(u))
+
+
+def test_the_draw_is_gumbel_top_k_and_matters(spark):
+    rows = registry.op9_quality(spark, MEDIUM).collect()
+    k = sum(r.kept for r in rows)
+    keys = sorted(rows, key=lambda r: r.log_weight + gumbel(r.doc_id), reverse=True)
+    assert {r.doc_id for r in keys[:k]} == {r.doc_id for r in rows if r.kept}
+    assert all(abs(r.key - r.log_weight - gumbel(r.doc_id)) < 1e-6 for r in rows)
+    cut = sorted((r.log_weight for r in rows), reverse=True)[k - 1]
+    changed = sum(r.kept != (r.log_weight >= cut) for r in rows)
+    assert 0.001 * len(rows) < changed < 0.03 * len(rows)
+
+
+def plain_weights(texts, good):
+    """Log weights by counting words and pairs with a Counter; buckets by the operator's own hash of one word or pair."""
+    grams = lambda t: (w := re.findall(r"[^\x20\x09-\x0D]+", t)) + [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]
+    buckets = {g: int(quality.buckets_of([g])[0][-1]) for t in texts for g in grams(t)}
+    target, raw = Counter(), Counter()
+    for i, t in enumerate(texts):
+        raw.update(buckets[g] for g in grams(t))
+        if i in good:
+            target.update(buckets[g] for g in grams(t))
+    share = sum(target.values()) / sum(raw.values())
+    ratio = lambda b: math.log((target[b] + quality.PRIOR) / (raw[b] * share + quality.PRIOR))
+    return [quality.UNITS * sum(ratio(buckets[g]) for g in grams(t)) / max(len(grams(t)), 1) for t in texts]
+
+
+def test_weights_are_brute_force(spark):
+    texts = [f"a b c d{i % 3} " * (1 + i % 4) for i in range(30)] + ["x y %% &&" * 5, "", "one"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    good = set(range(0, 20, 2))
+    ratio = quality.log_ratio(quality.counts(docs.where(F.col("doc_id").isin(*good))), quality.counts(docs))
+    got = {r.doc_id: r.log_weight for r in quality.weighed(docs, ratio).collect()}
+    assert [got[i] for i in range(len(texts))] == pytest.approx(plain_weights([t.lower() for t in texts], good), abs=1e-6)
+
+
 def test_quality_odd_cases(spark):
     docs = odd_documents(spark)
     for marks in (labels(spark), labels(spark, [])):
@@ -93,6 +135,42 @@ def test_toxicity_odd_cases(spark):
     assert toxicity.toxicity(no_documents(spark), labels(spark)).count() == 0
 
 
+def plain_features(text, lexicon):
+    """The features one by one, each with a loop of its own."""
+    edge, text = toxicity.EDGE, text or ""
+    raw, low = text.split(), [w.strip(edge) for w in text.lower().split()]
+    kinds, n = set(low), max(len(raw), 1)
+    is_marked = lambda w: bool(w) and any(x in lexicon for x in (w, *(w[:k] + "*" for k in toxicity.BEGINNINGS if len(w) > k)))
+    marked, insults = [i for i, w in enumerate(low) if is_marked(w)], [i for i, w in enumerate(low) if w in toxicity.INSULTS]
+    hit = sorted({*marked, *insults})
+    near = [any(low[j] in toxicity.YOU for j in range(max(0, i - toxicity.NEAR), min(len(low), i + toxicity.NEAR + 1))) for i in hit]
+    ascii_letters, upper = sum(c.isascii() and c.isalpha() for c in text), sum("A" <= c <= "Z" for c in text)
+    size = max(len(text.encode()), 1)
+    punctuation = sum(c.isascii() and c.isprintable() and not c.isalnum() and c not in " !" for c in text)
+    hidden = [w for w in kinds if w and not w.isalpha() and any(c.isalpha() for c in w)]
+    drawn = [w for w in kinds if any(a == b == c and a.isalpha() for a, b, c in zip(w, w[1:], w[2:], strict=False))]
+    return [
+        math.log1p(len(raw)), len(insults) / n, len(marked) / n, math.log1p(len(marked)), len({low[i] for i in marked}), sum(near) / len(near) if near else 0.0, upper / max(ascii_letters, 1),
+        sum(w.isupper() and len(w) > 1 for w in raw) / n, punctuation / size, text.count("!") / size, len(hidden) / max(len(kinds), 1),
+        sum(w.translate(toxicity.LEET) in toxicity.INSULTS for w in hidden), len(drawn) / max(len(kinds), 1),
+    ]
+
+
+def test_features_are_brute_force(spark):
+    lexicon = frozenset({"thth*", "ering", "idiot", "leoi*"})
+    texts = [r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("text").collect()]
+    for t in [*texts, None, "", "You IDIOT!! 1d10t, sooo st*pid", "\x1c é ÉÉ %", "a " * 5000 + "loser you"]:
+        assert toxicity.features(t, lexicon) == pytest.approx(plain_features(t, lexicon))
+
+
+def test_the_lexicon_does_not_see_the_calibration_fold(spark, monkeypatch):
+    seen = []
+    plainly = toxicity.learned_lexicon
+    monkeypatch.setattr(toxicity, "learned_lexicon", lambda known: seen.append(known.where("apart").count()) or plainly(known))
+    registry.op3_toxicity(spark, SMALL)
+    assert seen == [0]
+
+
 def test_features_see_what_they_are_named_for():
     f = dict(zip(toxicity.NAMES, toxicity.features("YOU are an IDIOT!! and a st0pid l0ser, nooo", frozenset({"idio*"})), strict=True))
     assert f["insults"] > 0 and f["learned"] > 0 and f["near_you"] == 1 and f["shouted"] > 0 and f["obfuscated"] > 0 and f["obfuscated_insults"] >= 1 and f["drawn_out"] > 0
@@ -147,9 +225,9 @@ def test_parsing(html, blocks):
     "html,blocks",
     [
         ("<head><title>x</title><main><h1>Heading</h1><p>a</main>", ["Heading", "a"]), ("<head><title>x</title><section>a</section>", ["a"]), ("<head> <meta x>text<p>a", ["text", "a"]), ("<head><template><div>no</div></template></head>a", ["a"]),
-        ("<head><template><div>no</head><p>a", ["a"]), ("<div><svg><path d=x></div><p>a", ["a"]), ("<main><svg><path d=x><p>a</main>b", ["a", "b"]), ("<svg><svg/><svg><text>no</text></svg>no</svg>a", ["a"]), ("<svg><foreignObject><p>no</p></foreignObject></svg>a", ["a"]),
-        ("<svg><title/><text>no</text></svg>a", ["a"]), ("<div><canvas>no</div><p>a", ["a"]), ("<span><canvas>no</span>a", ["a"]), ("<p>a<canvas>no<p>b", ["a", "b"]), ("<div><object><div>no</div>no</object>a</div>", ["a"]), ("<div><object><p>no</div>a", ["a"]),
-        ("<div><math><mi>x</mi></div>a", ["a"]), ("<div><template><p>no</div>a", ["a"]), ("a</é x='1'>b<p>c", ["ab", "c"]), ("a<b></é>b</b>", ["ab"]), ("<head><link x></head><p>a", ["a"]),
+        ("<head><template><div>no</head><p>a", ["a"]), ("<div><svg><path d=x></div><p>a", ["a"]), ("<main><svg><path d=x><p>a</main>b", ["a", "b"]), ("<p><svg><svg/><svg><text>x</text></svg>y</svg>a", ["xya"]), ("<svg><foreignObject><p>b</p></foreignObject></svg>a", ["b", "a"]),
+        ("<svg><title/><text>x</text></svg>a", ["xa"]), ("<div><canvas>b</div><p>a", ["b", "a"]), ("<span><canvas>b</span>a", ["ba"]), ("<p>a<canvas>x<p>b", ["ax", "b"]), ("<div><object><div>b</div>c</object>a</div>", ["b", "ca"]), ("<div><object><p>b</div>a", ["b", "a"]),
+        ("<p>Energy is <math><mi>E</mi></math> here<p>a<noscript>b</noscript><textarea>no</textarea><iframe>no</iframe>", ["Energy is E here", "ab"]), ("<div><template><p>no</div>a", ["a"]), ("a</é x='1'>b<p>c", ["ab", "c"]), ("a<b></é>b</b>", ["ab"]), ("<head><link x></head><p>a", ["a"]),
     ],
 )
 def test_unclosed_parts_lose_no_text(html, blocks):
