@@ -16,7 +16,7 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.url_filter(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+    return url_filter.url_filter(table(spark, sf_dir, "pages"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,17 @@ def plain_spans(text):
     return [s for _, _, s in sorted(found)]
 
 
+def all_spans(text):
+    """Spans of every kind by re's own leftmost matches."""
+    found = []
+    for order, r in enumerate(secret_scan.RULES):
+        found += [(m.start(), order, f"{r.kind}:{m.start()}:{m.end()}") for m in re.finditer(r.pattern, text or "", re.ASCII) if len(m[r.group]) >= r.least]
+    return ",".join(s for _, _, s in sorted(found))
+
+
 def compared(docs, got):
+    got = list(got)
+    assert sorted((str(r.doc_id), r.spans) for r in got) == sorted((str(r.doc_id), all_spans(r.text)) for r in docs)
     key = lambda x: tuple(map(str, x))
     want = []
     for r in docs:
@@ -88,6 +98,8 @@ URLS = [
 def test_rules(spark):
     pages = spark.createDataFrame([(i, u[0]) for i, u in enumerate(URLS)], "page_id long, url string")
     got = {r.page_id: r for r in url_filter.url_filter(pages, spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()}
+    ruled = {r.page_id: r for r in url_filter.url_filter(pages).collect()}
+    assert {i: (r.rule, r.verdict) for i, r in ruled.items() if r.rule} == {i: (r.rule, r.verdict) for i, r in got.items() if r.rule}
     for i, (_, host, path, rule, verdict) in enumerate(URLS):
         assert (got[i].host, got[i].path, got[i].rule) == (host, path, rule)
         assert got[i].verdict == (verdict or "allow")
@@ -114,6 +126,25 @@ def test_null_labels_are_no_outcomes(spark):
         assert {(r.labelled, r.verdict) for r in found.collect()} == {(20, "block")}
 
 
+def test_the_method_blocks_and_allows_on_the_table(spark):
+    """Hosts whose judged pages the rules block are blocked as a whole, those without judged pages are allowed."""
+    got = registry.op2_url_reputation(spark, "/root/testdata/sf0.01").where("rule IS NULL").collect()
+    assert {r.verdict for r in got} == {"block", "allow"}
+    assert all((r.verdict == "block") == (r.bound > url_filter.THRESHOLD) and 0 < r.bad_share < 1 for r in got)
+
+
+def test_very_long_urls(spark):
+    pages = spark.createDataFrame([(1, "http://" + "a." * 50_000 + "com/" + "x/" * 100_000), (2, "http://b.org/" + "y" * 300_000)], "page_id long, url string")
+    got = {r.page_id: r for r in url_filter.url_filter(pages).collect()}
+    assert (got[1].rule, len(got[1].host), len(got[2].path), got[2].verdict) == ("com/", 100_003, 300_001, "allow")
+
+
+@pytest.mark.parametrize("host,domain,suffix", [("a.b.c.org", "c.org", "org"), ("org", "org", "org"), ("", "", ""), ("a.b.co.uk", "b.co.uk", "co.uk"), ("co.uk", "co.uk", "co.uk")])
+def test_names(spark, host, domain, suffix):
+    r = url_filter.named(spark.createDataFrame([(host,)], "host string")).first()
+    assert (r.domain, r.suffix) == (domain, suffix)
+
+
 @pytest.mark.parametrize("host,domain", [("a.b.c.org", "c.org"), ("org", "org"), ("", "")])
 def test_domains(spark, host, domain):
     out = spark.createDataFrame([(host, 1, 0, 0)], "host string, pages long, bad long, n long")
