@@ -1,10 +1,14 @@
 """Exact dedup by a tree merge of sorted digest runs.
 
-Every input partition is a leaf that sorts its digests into a run, one entry per text. In each round
-``fan_in`` neighbouring runs are merged into one, so after log(partitions) rounds a single run, dealt out
-by digest, names the row that stays of every text. The decision then goes down the same tree. A task never
-sees more than ``fan_in`` entries of a text in a round, and at the leaves no more rows than its input
-partition holds: a text that a third of all rows share needs no special case.
+Every input partition is a leaf whose digests become a run, one entry per text. In each round ``fan_in``
+neighbouring runs exchange their entries by digest and are merged into one, so after log(partitions) rounds a
+single run, dealt out by digest, names the row that stays of every text. The decision then goes down the same
+tree. A task never sees more than ``fan_in`` entries of a text in a round, and at the leaves no more rows than
+its input partition holds: a text that a third of all rows share needs no special case.
+
+The merge of a round is Spark's sort aggregation: it sorts what the exchange brings and combines neighbours of
+equal key in one pass. DataFrames have no operator that takes runs as already sorted across an exchange, nor one
+that keeps the order of a full outer join, so runs are not stored in order; each round orders them anew.
 
 Texts are equal when identical after lower-casing A-Z. An entry's key holds two witnesses beside SHA-256,
 the byte length and an independent 64-bit hash; entries merge only if all three agree, at every level.
@@ -42,11 +46,11 @@ def exact_dedup(docs: DataFrame, fan_in: int = 16) -> DataFrame:
     rows = durable(digests(docs))
     level = rows.groupBy(*KEY, "_run").agg(F.max(F.struct("doc_id", "_row")).alias("_best"), F.count(F.lit(1)).alias("_size"))
     leaves = (rows.agg(F.max("_run")).first()[0] or 0) + 1
-    levels = [durable(level.sortWithinPartitions(*KEY, "_run"))]
+    levels = [durable(level)]
     while leaves > 1:
         merged = levels[-1].withColumn("_run", F.floor(F.col("_run") / fan_in).cast("int"))
         merged = merged.groupBy(*KEY, "_run").agg(F.max("_best").alias("_best"), F.sum("_size").alias("_size"))
-        levels.append(durable(merged.sortWithinPartitions(*KEY, "_run")))
+        levels.append(durable(merged))
         leaves = -(-leaves // fan_in)
     winner = levels.pop()
     for run in reversed(levels):

@@ -11,9 +11,13 @@ Water-filling in one pass: with the sources ordered by cap / weight, the capped
 capped if its ratio is below the level that it and the rest would share after all before it were capped;
 the level of the first that is not holds for all after it.
 
-Positions come from two passes: counts per stratum (source, size class, hash block) give each stratum's first
-position, a window within the stratum the rest. A block holds about BLOCK documents of all sources together,
-so the hot source's strata are as small as any. Only narrow rows (id, source, size) are shuffled. The
+Independent draws (tied=False) miss the targets by more: one standard deviation of a source's words is up to 28 %
+of its target with 50 documents a source, 12 % with 500, and 5 % in a source of 18,700 documents of which 7 % are
+taken, because few very long documents hold many of the words.
+
+Positions come from counts per stratum (source, size class, hash block): sums over the classes of a source and
+over the blocks of a class give each stratum's first position, a window within the stratum the rest. A block
+holds about BLOCK documents of all sources together, so the hot source's strata are as small as any. Only narrow rows (id, source, size) are shuffled. The
 per-source sums are ordered in one task, one row a source. Tables of sources and strata are broadcast behind
 a check of their number; beyond it hot keys are broadcast alone and the rest is joined by a shuffle.
 
@@ -32,7 +36,7 @@ from .common import BROADCAST_ROWS, checked_broadcast, durable, join_with_hot_ke
 SEED = "mix-1"
 CAP = 3
 #: Documents of all sources in a hash block.
-BLOCK = 1_000_000
+BLOCK = 100_000
 
 
 def targets(sums: DataFrame, cap: int = CAP, weights: int = 3) -> DataFrame:
@@ -70,26 +74,42 @@ def _joined(left: DataFrame, right: DataFrame, key: list[str], rows: int, total:
     return join_with_hot_keys(left, right, key, "n", total)
 
 
-def mix(docs: DataFrame, cap: int = CAP, seed: str = SEED) -> DataFrame:
-    """One row per input row: doc_id, size, source_size, target, taken, copies."""
+def mix(docs: DataFrame, cap: int = CAP, seed: str = SEED, tied: bool = True) -> DataFrame:
+    """One row per input row: doc_id, size, source_size, target, taken, copies. If not tied, every draw is on its own."""
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
     sized = durable(sized.withColumn("_null", F.col("source").isNull()).withColumn("source", F.coalesce("source", F.lit(""))))
     sums = sized.groupBy("_null", "source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     goals = durable(targets(sums, cap))
     sources, total = goals.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     blocks = max(1, -(-total // BLOCK))
-    place = sized.withColumn("_hash", uniform(F.col("doc_id"), seed)).withColumn("_class", size_class(F.col("size"))).withColumn("_block", F.floor(F.col("_hash") * blocks).cast("int"))
+    place = sized.withColumn("_hash", uniform(F.col("doc_id"), seed))
+    if not tied:
+        both = _joined(place, goals, ["_null", "source"], sources, total).withColumn("_rate", _rate())
+        return _copies(both, F.col("_hash") < F.col("_rate") - F.floor("_rate"))
+    place = place.withColumn("_class", size_class(F.col("size"))).withColumn("_block", F.floor(F.col("_hash") * blocks).cast("int"))
     stratum = ["_null", "source", "_class", "_block"]
-    in_source = Window.partitionBy("_null", "source").orderBy(F.desc("_class"), "_block")
-    strata = place.groupBy(*stratum).agg(F.count(F.lit(1)).alias("n"))
-    strata = durable(strata.withColumn("_first", F.sum("n").over(in_source) - F.col("n")))
+    strata = durable(place.groupBy(*stratum).agg(F.count(F.lit(1)).alias("n")))
+    # where a size class begins in its source, then where a stratum begins in its class
+    first = lambda n, order: F.sum(n).over(order) - F.col(n)
+    classes = strata.groupBy(*stratum[:3]).agg(F.sum("n").alias("_in"), F.count(F.lit(1)).alias("_strata"))
+    classes = durable(classes.withColumn("_base", first("_in", Window.partitionBy(*stratum[:2]).orderBy(F.desc("_class")))))
+    within = strata.withColumn("_within", first("n", Window.partitionBy(*stratum[:3]).orderBy("_block"))).withColumnRenamed("n", "_n")
+    within = _joined(within, classes.select(*stratum[:3], "_base", F.col("_strata").alias("n")), stratum[:3], classes.count(), strata.count())
+    strata = durable(within.select(*stratum, F.col("_n").alias("n"), (F.col("_base") + F.col("_within")).alias("_first")))
     ranked = place.withColumn("_rank", F.row_number().over(Window.partitionBy(*stratum).orderBy(F.desc("size"), "_hash", "doc_id")) - 1)
     both = _joined(_joined(ranked, strata, stratum, strata.count(), total), goals, ["_null", "source"], sources, total)
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    both = both.withColumn("_rate", rate).withColumn("_u", uniform(F.concat(F.lit("source:"), "source"), seed)).withColumn("_at", F.col("_first") + F.col("_rank"))
+    both = both.withColumn("_rate", _rate()).withColumn("_u", uniform(F.concat(F.lit("source:"), "source"), seed)).withColumn("_at", F.col("_first") + F.col("_rank"))
     part = F.col("_rate") - F.floor("_rate")
     extra = F.floor((F.col("_at") + 1) * part + F.col("_u")) > F.floor(F.col("_at") * part + F.col("_u"))
-    return both.withColumn("copies", F.floor("_rate") + extra.cast("long")).select(
+    return _copies(both, extra)
+
+
+def _rate():
+    return F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+
+
+def _copies(rated: DataFrame, extra) -> DataFrame:
+    return rated.withColumn("copies", F.floor("_rate") + extra.cast("long")).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies"
     )
 
@@ -132,7 +152,7 @@ rates AS (
   FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source),
 placed AS (
   SELECT *, rate - floor(rate) AS part,
-         row_number() OVER (PARTITION BY source ORDER BY class DESC, floor(h * greatest(1, ceil((SELECT count(*) FROM sized) / 1000000.0))), size DESC, h, doc_id) - 1 AS pos
+         row_number() OVER (PARTITION BY source ORDER BY class DESC, floor(h * greatest(1, ceil((SELECT count(*) FROM sized) / 100000.0))), size DESC, h, doc_id) - 1 AS pos
   FROM rates),
 drawn AS (
   SELECT *, CAST(floor(rate) + CASE WHEN floor((pos + 1) * part + u) > floor(pos * part + u) THEN 1 ELSE 0 END AS BIGINT) AS copies FROM placed)

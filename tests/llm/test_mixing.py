@@ -1,3 +1,4 @@
+import hashlib
 from collections import defaultdict
 
 import pytest
@@ -61,6 +62,24 @@ def test_taken_comes_near_the_target(spark):
     assert all(abs(r["sum(taken)"] / r["max(target)"] - 1) < 0.02 for r in per)
 
 
+def test_draws_that_are_not_tied(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    for r in mixing.mix(docs, tied=False).collect():
+        u = int(hashlib.md5(f"{mixing.SEED}:{r.doc_id}".encode()).hexdigest()[:12], 16) / (1 << 48)
+        rate = r.target / r.source_size
+        assert r.copies == int(rate) + (u < rate - int(rate))
+
+
+@pytest.mark.parametrize("block", [7, 50])
+def test_small_blocks_and_shuffled_joins_draw_alike(spark, monkeypatch, block):
+    """Many strata; and with a limit of 1 on broadcasts every join of sources, classes and strata is shuffled."""
+    docs = odd_documents(spark)
+    monkeypatch.setattr(mixing, "BLOCK", block)
+    want = sorted(mixing.mix(docs).collect(), key=repr)
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)
+    assert sorted(mixing.mix(docs).collect(), key=repr) == want
+
+
 def test_documents_repeat_as_taken(spark):
     docs = odd_documents(spark)
     want = sum(r.copies for r in mixing.mix(docs).collect())
