@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 #: Unicode strip, a paragraph that is more than a separator, what a word token may hold.
 STRIP = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
 SUBSTANCE = r"[^_\-=. \t\n]"
-NOT_WORD = r"[^\p{L}\p{N} ]"
+NOT_WORD = r"[^\p{L}\p{M}\p{N}]+"
+WORD_OR_SPACE = r"[\p{L}\p{M}\p{N}]+|\s+"
 #: Thai digits and their ASCII forms; the answer's label.
 THAI_DIGITS, DIGITS = "๐๑๒๓๔๕๖๗๘๙", "0123456789"
 ANSWER_LABEL = r"^\s*คำตอบ\s*[:：]\s*"
@@ -34,8 +35,13 @@ def is_valid_paragraph(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    """Lower-case letter and digit runs; punctuation goes, blanks part."""
-    return F.filter(F.split(F.regexp_replace(F.lower(text), NOT_WORD, ""), " +"), lambda t: t != "")
+    """Lower-case runs of letters, their marks and digits. Any function from text to an array of tokens can stand in for it."""
+    return F.filter(F.split(F.lower(text), NOT_WORD), lambda t: t != "")
+
+
+def words_and_spaces(text: Column) -> Column:
+    """Like words, with the white space between them as tokens of their own."""
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD_OR_SPACE), F.lit(0))
 
 
 def spaced_tokens(tokens: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import citations
+
 TIE, DISAGREE = 1e-9, 0.0005
 WEIGHTS = {"rouge_l": 0.35, "ss": 0.45, "iou": 0.20}
 
@@ -117,6 +119,37 @@ def confusion(truth: Column, found: Column) -> list[Column]:
     return [F.count_if(truth & found).alias("tp"), F.count_if(~truth & found).alias("fp"), F.count_if(truth & ~found).alias("fn"), F.count_if(~truth & ~found).alias("tn")]
 
 
+def any_of(*flags: Column) -> Column:
+    """The OR rule: yes if any flag says so; a missing flag says no."""
+    found = F.lit(False)
+    for f in flags:
+        found = found | F.coalesce(f, F.lit(False))
+    return found
+
+
+def run_report(answers: DataFrame, raw: str, keys: list[str]) -> DataFrame:
+    """Answers of a run, those that carry a citation tag, tags an answer, and how long answers are."""
+    size, tags = F.length(raw), F.regexp_count(raw, F.lit(citations.TAG))
+    return answers.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(citations.has_citation(F.col(raw))).alias("tagged"), F.round(F.avg(tags), 6).alias("mean_tags"),
+        F.round(F.avg(size), 6).alias("mean_chars"), F.min(size).cast("long").alias("least"), F.max(size).cast("long").alias("most"),
+    )
+
+
+def bucket_summary(df: DataFrame, delta: str, keys: list[str]) -> DataFrame:
+    """Per bucket: number, mean and median of the difference, wins and losses."""
+    d = F.col(delta)
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(d), 6).alias("mean"), F.round(F.percentile(d, F.lit(0.5)), 6).alias("median"), F.count_if(d > TIE).alias("wins"), F.count_if(d < -TIE).alias("losses"))
+
+
+def with_predictions(gold: DataFrame, predictions: DataFrame, key: str, column: str) -> DataFrame:
+    """gold with its prediction; a gold row that none answers fails the job instead of going missing."""
+    both = gold.join(predictions.select(key, F.col(column).alias("_p"), F.lit(True).alias("_met")), key, "left")
+    kind = dict(predictions.dtypes)[column]
+    missing = F.raise_error(F.concat(F.lit("no prediction for "), F.col(key).cast("string"))).cast(kind)
+    return both.select(*gold.columns, F.when(F.col("_met"), F.col("_p")).otherwise(missing).alias(column))
+
+
 def reconciled(computed: DataFrame, stored: DataFrame, labels: DataFrame, key: str = "system") -> DataFrame:
     """Leaderboard rows: the fixed score where there is one, else the mean of details, else what is stored; disagreements are flagged."""
     both = computed.join(stored, key, "full").join(labels, key, "left")

@@ -1,46 +1,74 @@
-"""Questions against the paragraphs of their own document: BM25 and dense scores, gold marks, ranks.
+"""Questions against the paragraphs of their own document: BM25, dense and late-interaction scores, gold marks, ranks.
 
-One shuffle, of documents by doc_id; counts, document frequencies and ranks all partition by doc_id and reuse
-it. A document is the largest group there is.
+One shuffle, of documents by doc_id, which what follows by question reuses. From there on a document is one row:
+its paragraphs, their words, the counts behind the scores and the ranks are arrays of that row. A document is the
+largest group there is. Steps are kept apart by ``stage``, so that no array is computed twice.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_valid_paragraph, words
+from .vectors import hashed_token_vectors, max_sim_buckets
 
 #: Okapi BM25's constants, and the number of buckets of the hashed vectors.
 K1, B, EPSILON, DIMENSIONS = 1.5, 0.75, 0.25, 64
-LEAST_PARAGRAPHS, LEAST_WORDS = 5, 3
+Tokenizer = Callable[[Column], Column]
+
+
+def stage(df: DataFrame, keep: list[str], **made: Column) -> DataFrame:
+    """The columns ``keep`` of df and the made ones. The generator between keeps the optimizer from copying a column into each of its uses."""
+    return df.select(*keep, F.inline(F.array(F.struct(*(c.alias(name) for name, c in made.items())))))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def paragraph_arrays(docs: DataFrame) -> DataFrame:
+def paragraph_arrays(docs: DataFrame, tokenize: Tokenizer = words) -> DataFrame:
     """doc_id, ps (valid lines in order), ts (their words), n."""
-    lines = docs.select("doc_id", F.filter(F.split("text", "\n"), is_valid_paragraph).alias("ps"))
-    return lines.select("doc_id", "ps", F.transform("ps", words).alias("ts"), F.size("ps").cast("long").alias("n"))
+    lines = stage(docs, ["doc_id"], ps=F.filter(F.split("text", "\n"), is_valid_paragraph))
+    return stage(lines, ["doc_id", "ps"], ts=F.transform("ps", tokenize), n=F.size("ps").cast("long"))
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
+def paragraphs(docs: DataFrame, tokenize: Tokenizer = words) -> DataFrame:
     """doc_id, pos (1-based), para_id, text, tokens."""
-    rows = paragraph_arrays(docs).select("doc_id", "n", F.posexplode(F.arrays_zip("ps", "ts")).alias("i", "p"))
+    rows = paragraph_arrays(docs, tokenize).select("doc_id", "n", F.posexplode(F.arrays_zip("ps", "ts")).alias("i", "p"))
     pos = (F.col("i") + 1).cast("long")
     return rows.select("doc_id", "n", pos.alias("pos"), F.concat(F.lit("P"), pos.cast("string")).alias("para_id"), F.col("p.ps").alias("text"), F.col("p.ts").alias("tokens"))
 
 
-def questioned(docs: DataFrame) -> DataFrame:
-    """One question a document with enough paragraphs: every second of words 2 to 9 of one paragraph; gold is where the phrase stands."""
-    d = paragraph_arrays(docs).where(F.col("n") >= LEAST_PARAGRAPHS)
-    span = F.slice(F.element_at("ts", (F.pmod(F.col("doc_id"), F.col("n")) + 1).cast("int")), 2, 8)
-    d = d.withColumn("span", span).where(F.size("span") >= LEAST_WORDS)
-    return d.select("doc_id", "n", "ps", "ts", F.filter("span", lambda t, i: i % 2 == 0).alias("q"), F.array_join("span", " ").alias("phrase"))
+def questioned(docs: DataFrame, tokenize: Tokenizer = words) -> DataFrame:
+    """One question a document that has a word: every second of words 2 to 9 of one paragraph (its only word, if there is one); gold is where the phrase stands."""
+    d = stage(paragraph_arrays(docs, tokenize), ["doc_id", "n", "ps", "ts"], spoken=F.filter("ts", lambda t: F.size(t) > 0)).where(F.size("spoken") > 0)
+    d = stage(d, ["doc_id", "n", "ps", "ts"], chosen=F.get("spoken", F.pmod(F.col("doc_id"), F.size("spoken")).cast("int")))
+    d = stage(d, ["doc_id", "n", "ps", "ts"], span=F.when(F.size("chosen") > 1, F.slice("chosen", 2, 8)).otherwise(F.col("chosen")))
+    return stage(d, ["doc_id", "n", "ps", "ts"], q=F.filter("span", lambda t, i: i % 2 == 0), phrase=F.array_join("span", " "))
 
 
 def bucket(token: Column) -> Column:
     return (F.conv(F.substring(F.md5(token), 1, 4), 16, 10).cast("int") % DIMENSIONS).cast("int")
 
 
+def run_lengths(a: Column) -> Column:
+    """How often each distinct value occurs, in the values' order."""
+    ends = lambda s: F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: F.coalesce(F.get(s, i) != F.get(s, i - 1), F.lit(True)))
+    lengths = lambda e: F.transform(e, lambda x, k: x - F.coalesce(F.get(e, k - 1), F.lit(0)))
+    return F.when(F.size(a) == 0, F.array().cast("array<int>")).otherwise(let(F.sort_array(a), lambda s: let(ends(s), lengths)))
+
+
+def ranks(scores: Column) -> Column:
+    """1-based ranks of an array of scores, the largest first, of equals the earlier first."""
+    order = F.sort_array(F.transform(scores, lambda s, i: F.struct((-s).alias("s"), i.alias("i"))))
+    back = lambda o: F.sort_array(F.transform(o, lambda x, r: F.struct(x["i"].alias("i"), (r + 1).cast("long").alias("r"))))
+    return F.transform(let(order, back), lambda x: x["r"])
+
+
 def rounded(c: Column) -> Column:
     """Scores are ranked as rounded, so that the order of a sum decides nothing."""
     return F.round(c, 9)
@@ -50,33 +78,47 @@ def by_score(score: str, group: str = "doc_id", tie: str = "pos"):
     return F.row_number().over(Window.partitionBy(group).orderBy(F.desc(score), tie)).cast("long")
 
 
-def evidence(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, n, len, is_gold, n_gold, bm25, dense, rb, rd for every paragraph of a questioned document."""
-    d = questioned(docs).repartition("doc_id")
-    average = F.aggregate("ts", F.lit(0).cast("long"), lambda s, t: s + F.size(t)) / F.col("n")
-    hashed = F.transform("q", bucket)
-    d = d.withColumn("avgdl", average).withColumn("qb", hashed)
-    d = d.withColumn("nq2", F.aggregate("qb", F.lit(0), lambda s, x: s + F.size(F.filter(F.col("qb"), lambda y: y == x))))
-    p = d.select("doc_id", "n", "avgdl", "q", "qb", "nq2", "phrase", F.posexplode("ts").alias("i", "toks"))
-    p = p.withColumn("is_gold", F.contains(F.array_join("toks", " "), F.col("phrase")).cast("long"))
-    t = p.select("doc_id", "n", "avgdl", "q", "qb", "nq2", (F.col("i") + 1).cast("long").alias("pos"), F.size("toks").cast("long").alias("len"), "is_gold", F.explode_outer("toks").alias("tok"))
-    # how often the question asks for the token and for its bucket follows from the token
-    asked = F.size(F.filter("q", lambda x: x == F.col("tok")))
-    t = t.select("doc_id", "pos", "n", "avgdl", "nq2", "len", "is_gold", "tok", F.coalesce(asked, F.lit(0)).alias("qtf"), bucket(F.col("tok")).alias("b"), F.col("qb"))
-    t = t.withColumn("qbf", F.coalesce(F.size(F.filter("qb", lambda x: x == F.col("b"))), F.lit(0))).drop("qb")
-    tf = t.groupBy("doc_id", "pos", "n", "avgdl", "nq2", "len", "is_gold", "tok", "qtf", "b", "qbf").agg(F.count("tok").alias("tf"))
-    per_token, per_doc, per_bucket = Window.partitionBy("doc_id", "tok"), Window.partitionBy("doc_id"), Window.partitionBy("doc_id", "pos", "b")
-    tf = tf.withColumn("df", F.count("tok").over(per_token)).withColumn("first", (F.row_number().over(per_token.orderBy("pos")) == 1) & F.col("tok").isNotNull())
-    tf = tf.withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = F.sum(F.when(F.col("first"), F.col("idf"))).over(per_doc) / F.sum(F.col("first").cast("long")).over(per_doc)
-    tf = tf.withColumn("idf", F.when(F.col("idf") < 0, EPSILON * mean).otherwise(F.col("idf"))).withColumn("cb", F.sum("tf").over(per_bucket))
-    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
-    scores = tf.groupBy("doc_id", "pos", "n", "len", "is_gold", "nq2").agg(
-        F.coalesce(F.sum(F.when(F.col("qtf") > 0, F.col("qtf") * weight)), F.lit(0.0)).alias("bm25"), F.sum(F.col("tf") * F.col("qbf")).alias("dot"), F.sum(F.col("tf") * F.col("cb")).alias("np2")
+def total(a: Column, f: Callable[[Column], Column], kind: str = "double") -> Column:
+    return F.aggregate(a, F.lit(0).cast(kind), lambda s, x: s + f(x).cast(kind))
+
+
+def scored(docs: DataFrame, tokenize: Tokenizer = words, late: bool = False) -> DataFrame:
+    """doc_id, n, ps, ts, q, n_gold and s: per paragraph pos, len, is_gold, bm25, dense (and late), rb, rd (and rl)."""
+    keep = ["doc_id", "n", "ps", "ts", "q"]
+    n, q, qb = F.col("n"), F.col("q"), F.col("qb")
+    idf = lambda df: F.log(n - df + 0.5) - F.log(df + 0.5)
+    within = lambda t: total(F.col("ts"), lambda p: F.array_contains(p, t), "long")
+    d = stage(
+        questioned(docs.select("doc_id", "text").repartition("doc_id"), tokenize), [*keep, "phrase"], avgdl=total(F.col("ts"), F.size, "long") / n, qb=F.transform(q, bucket), idf0=F.transform(q, lambda t: idf(within(t))), qv=hashed_token_vectors(q)
     )
-    dense = F.coalesce(F.try_divide(F.col("dot").cast("double"), F.sqrt(F.coalesce("np2", F.lit(0))) * F.sqrt("nq2")), F.lit(0.0))
-    out = scores.select("doc_id", "pos", "n", "len", "is_gold", F.sum("is_gold").over(per_doc).alias("n_gold"), rounded(F.col("bm25")).alias("bm25"), rounded(dense).alias("dense"))
-    return out.withColumn("rb", by_score("bm25")).withColumn("rd", by_score("dense"))
+    # the mean over all words of the document is asked for only where a word of the question stands in most paragraphs
+    mean = let(run_lengths(F.flatten(F.transform("ts", F.array_distinct))), lambda c: total(c, idf) / F.size(c))
+    d = stage(d, [*keep, "phrase", "avgdl", "qb", "qv", "idf0"], least=F.when(F.exists("idf0", lambda x: x < 0), EPSILON * mean), nq2=total(run_lengths(qb), lambda c: c * c, "long"))
+    weights = F.transform("idf0", lambda x: F.when(x < 0, F.col("least")).otherwise(x))
+    d = stage(d, [*keep, "phrase", "avgdl", "qb", "qv", "nq2"], idf=weights)
+
+    def bm25(p: Column) -> Column:
+        tf = lambda t: F.size(F.filter(p, lambda x: x == t)).cast("double")
+        weigh = lambda t, w: let(tf(t), lambda f: w * f * (K1 + 1) / (f + K1 * (1 - B + B * F.size(p) / F.col("avgdl"))))
+        return total(F.zip_with(q, F.col("idf"), weigh), lambda x: x)
+
+    def dense(p: Column) -> Column:
+        dot = lambda b: total(b, lambda x: F.size(F.filter(qb, lambda y: y == x)), "long").cast("double")
+        norm = lambda b: F.sqrt(total(run_lengths(b), lambda c: c * c, "long")) * F.sqrt("nq2")
+        return let(F.transform(p, bucket), lambda b: F.coalesce(F.try_divide(dot(b), norm(b)), F.lit(0.0)))
+
+    gold = lambda p: F.contains(F.concat(F.lit(" "), F.array_join(p, " "), F.lit(" ")), F.concat(F.lit(" "), F.col("phrase"), F.lit(" "))).cast("long")
+    more = [("late", lambda p: let(F.array_distinct(hashed_token_vectors(p)), lambda v: max_sim_buckets(F.col("qv"), v)))] if late else []
+    each = [("bm25", lambda p: rounded(bm25(p))), ("dense", lambda p: rounded(dense(p))), *more]
+    d = stage(d, keep, s=F.transform("ts", lambda p, i: F.struct((i + 1).cast("long").alias("pos"), F.size(p).cast("long").alias("len"), gold(p).alias("is_gold"), *(f(p).alias(c) for c, f in each))))
+    d = stage(d, [*keep, "s"], n_gold=total(F.col("s.is_gold"), lambda x: x, "long"), **{f"r{c[0]}": ranks(F.col(f"s.{c}")) for c, _ in each})
+    ranked = F.transform("s", lambda x, i: F.struct(*(x[c].alias(c) for c in ("pos", "len", "is_gold", *(c for c, _ in each))), *(F.get(f"r{c[0]}", i).alias(f"r{c[0]}") for c, _ in each)))
+    return stage(d, [*keep, "n_gold"], s=ranked)
+
+
+def evidence(docs: DataFrame, tokenize: Tokenizer = words, late: bool = False) -> DataFrame:
+    """doc_id, pos, n, len, is_gold, n_gold, bm25, dense, rb, rd (and late, rl) for every paragraph of a questioned document."""
+    return scored(docs, tokenize, late).select("doc_id", "n", "n_gold", F.inline("s"))
 
 
 def methods(e: DataFrame) -> DataFrame:
@@ -105,9 +147,14 @@ def weighted_score(a: str, b: str, alpha: Column | float, group: str = "doc_id")
 
 def union_pool(e: DataFrame, n: int, first: str = "rd", second: str = "rb") -> DataFrame:
     """The first list's top n in order, then what the second's top n adds: pool_pos."""
-    kept = e.where((F.col(first) <= n) | (F.col(second) <= n))
-    order = F.when(F.col(first) <= n, F.col(first)).otherwise(n + F.col(second))
-    return kept.withColumn("pool_pos", F.row_number().over(Window.partitionBy("doc_id").orderBy(order)).cast("long"))
+    return ordered_union(e, n, [first, second])
+
+
+def ordered_union(e: DataFrame, n: int, lists: list[str]) -> DataFrame:
+    """The first list's top n in order, then what each further list's top n adds: pool_pos."""
+    order = F.coalesce(*(F.when(F.col(r) <= n, i * n + F.col(r)) for i, r in enumerate(lists)))
+    kept = e.withColumn("_order", order).where("_order IS NOT NULL")
+    return kept.withColumn("pool_pos", F.row_number().over(Window.partitionBy("doc_id").orderBy("_order")).cast("long")).drop("_order")
 
 
 def question_metrics(ranked: DataFrame, keys: list[str]) -> DataFrame:

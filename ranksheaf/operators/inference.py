@@ -29,6 +29,37 @@ class Generator(Protocol):
     def generate(self, prompts: list[str]) -> list[str]: ...
 
 
+class MultiEmbedder(Protocol):
+    """One vector a token."""
+
+    def embed_tokens(self, texts: list[str]) -> list[np.ndarray]: ...
+
+
+class Segmenter(Protocol):
+    """Words of a language that writes none apart."""
+
+    def segment(self, texts: list[str]) -> list[list[str]]: ...
+
+
+class YesNoScorer(Protocol):
+    """Logits of the answers yes and no, a row a prompt."""
+
+    def logits(self, prompts: list[str]) -> np.ndarray: ...
+
+
+class HashMultiEmbedder:
+    """A token as its place among so many dimensions."""
+
+    def __init__(self, dimensions: int = 64) -> None:
+        self.dimensions = dimensions
+
+    def embed_tokens(self, texts: list[str]) -> list[np.ndarray]:
+        import zlib
+
+        eye = np.eye(self.dimensions, dtype=np.float32)
+        return [eye[[zlib.crc32(w.encode()) % self.dimensions for w in t.lower().split()]].reshape(-1, self.dimensions) for t in texts]
+
+
 class HashEmbedder:
     """Bag of hashed words, of length one."""
 
@@ -77,6 +108,49 @@ def embedded(text: Column, make: Callable[[], Embedder] = HashEmbedder) -> Colum
     return embed(text)
 
 
+def embedded_tokens(text: Column, make: Callable[[], MultiEmbedder] = HashMultiEmbedder) -> Column:
+    @pandas_udf("array<array<float>>")
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = make()
+        for texts in batches:
+            yield pd.Series([[list(v) for v in m] for m in model.embed_tokens(texts.fillna("").tolist())])
+
+    return embed(text)
+
+
+def segmented(make: Callable[[], Segmenter]) -> Callable[[Column], Column]:
+    """A tokenizer over whole texts from a word segmenter, to stand in for ``words`` where a column of texts is cut."""
+
+    @pandas_udf("array<string>")
+    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = make()
+        for texts in batches:
+            yield pd.Series([[w for w in ws if w.strip()] for ws in model.segment(texts.fillna("").str.lower().tolist())])
+
+    return cut
+
+
+def yes_no_prompt(instruction: str, question: Column, paragraph: Column) -> Column:
+    """What a generative reranker is asked; the model answers yes or no."""
+    return F.concat(F.lit(f"<Instruct>: {instruction}\n<Query>: "), question, F.lit("\n<Document>: "), paragraph)
+
+
+def yes_chance(yes: Column, no: Column) -> Column:
+    """The softmax over two logits, at yes."""
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(no - yes))
+
+
+def yes_no_scored(prompt: Column, make: Callable[[], YesNoScorer]) -> Column:
+    @pandas_udf("array<double>")
+    def logits(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = make()
+        for p in batches:
+            yield pd.Series(np.asarray(model.logits(p.fillna("").tolist()), float).reshape(-1, 2).tolist())
+
+    pair = logits(prompt)
+    return F.get(F.transform(F.array(pair), lambda x: yes_chance(x[0], x[1])), F.lit(0))
+
+
 def scored(question: Column, paragraph: Column, make: Callable[[], Scorer] = OverlapScorer) -> Column:
     @pandas_udf("double")
     def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -113,11 +187,11 @@ def parsed(outputs: DataFrame) -> DataFrame:
 
 
 def merged(answers: DataFrame, refs: DataFrame, key: str = "query_id") -> DataFrame:
-    """The answer of one run with the evidence of another; both must have the same keys."""
-    odd = answers.select(key).join(refs.select(key), key, "left_anti").limit(1).count() + refs.select(key).join(answers.select(key), key, "left_anti").limit(1).count()
-    if odd:
-        raise ValueError("the two runs answer different questions")
-    return answers.select(key, "answer").join(refs.select(key, "refs"), key)
+    """The answer of one run with the evidence of another; a question that only one of them has fails the job."""
+    one, two = answers.select(key, "answer", F.lit(True).alias("_a")), refs.select(key, "refs", F.lit(True).alias("_b"))
+    both = one.join(two, key, "full")
+    odd = F.raise_error(F.concat(F.lit("the two runs answer different questions: "), F.col(key).cast("string"))).cast("string")
+    return both.select(key, F.when(F.col("_a") & F.col("_b"), F.col("answer")).otherwise(odd).alias("answer"), "refs")
 
 
 def combinations(runs: DataFrame, key: str = "query_id") -> DataFrame:

@@ -91,6 +91,14 @@ def simulated_citations(e: DataFrame, rates: list[float], seed: str = "cite", ra
     return e.withColumn("cited", (u < rate).cast("long"))
 
 
+def average_k(e: DataFrame, mean: float, seed: str = "avg", rank: str = "rd") -> DataFrame:
+    """cited: the first ranks up to the whole part of ``mean`` always, the next one with its fraction as chance; hash-seeded per question."""
+    whole, part = int(mean), mean - int(mean)
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "doc_id")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    r = F.col(rank)
+    return e.withColumn("cited", ((r <= whole) | ((r == whole + 1) & (u < round(part, 9)))).cast("long"))
+
+
 def strategies(sizes: tuple[int, ...] = (5, 10, 20), alphas: tuple[float, ...] = (0.3, 0.5, 0.7)) -> dict[str, Column]:
     """Pool strategies by name: whether a paragraph with ranks rd, rb, rr (fused) and w30, w50, w70 (weighted) is in."""
     found: dict[str, Column] = {}

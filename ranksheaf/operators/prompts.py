@@ -84,6 +84,12 @@ def chat(system: str, prompt: Column, shots: Column | None = None) -> Column:
     return F.concat(head, shots.cast(MESSAGE), tail) if shots is not None else F.concat(head, tail)
 
 
+def laid_out(messages: Column, answer_next: bool = True) -> Column:
+    """Messages as one text by the common chat template, with the opening of the answer to come."""
+    each = F.transform(messages, lambda m: F.concat(F.lit("<|im_start|>"), m["role"], F.lit("\n"), m["content"], F.lit("<|im_end|>\n")))
+    return F.concat(F.array_join(each, ""), F.lit("<|im_start|>assistant\n" if answer_next else ""))
+
+
 def shot_turns(shots: Column) -> Column:
     """An array of (question, answer) as user and assistant turns."""
     return F.flatten(F.transform(shots, lambda s: F.array(message("user", s["question"]), message("assistant", s["answer"]))))

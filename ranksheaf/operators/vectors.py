@@ -26,10 +26,16 @@ def within_documents(vectors: DataFrame) -> DataFrame:
     return s.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("long"))
 
 
+def summed(vectors: DataFrame, group: str) -> DataFrame:
+    """group, n, s: number and sum of the group's vectors, of whatever width the table's are."""
+    width = vectors.select(F.coalesce(F.max(F.size("v")), F.lit(0))).first()[0]
+    sums = vectors.groupBy(group).agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.get("v", F.lit(i))).alias(f"s{i}") for i in range(width)))
+    return sums.select(group, "n", F.array(*(f"s{i}" for i in range(width))).alias("s"))
+
+
 def blend_sweep(vectors: DataFrame, alphas: list[float]) -> DataFrame:
     """hit@1 and MRR when each query is moved by alpha towards its document's mean vector."""
-    names = [f"m{i}" for i in range(64)]
-    mean = vectors.groupBy("doc_id").agg(*(F.avg(F.col("v")[i]).alias(n) for i, n in enumerate(names))).select("doc_id", F.array(*names).alias("h"))
+    mean = summed(vectors, "doc_id").select("doc_id", F.transform("s", lambda x: x / F.col("n")).alias("h"))
     q = vectors.join(mean, "doc_id").select("doc_id", F.col("vec_id").alias("query_id"), F.col("label").alias("q_label"), F.explode(F.array(*(F.lit(a) for a in alphas))).alias("alpha"), "v", "h")
     q = q.select("doc_id", "query_id", "q_label", "alpha", sets.blended(F.col("v"), F.col("h"), F.col("alpha")).alias("q"))
     pairs = q.join(vectors, "doc_id").where(F.col("query_id") != F.col("vec_id"))
@@ -60,17 +66,15 @@ def nearest(vectors: DataFrame, k: int) -> DataFrame:
 
 def centrality(vectors: DataFrame, group: str) -> DataFrame:
     """Mean similarity to the other vectors of the group, from the group's sum: (v.S - v.v) / (n - 1)."""
-    names = [f"s{i}" for i in range(64)]
-    sums = vectors.groupBy(group).agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.col("v")[i]).alias(x) for i, x in enumerate(names))).select(group, "n", F.array(*names).alias("s"))
-    both = vectors.join(sums, group)
+    both = vectors.join(summed(vectors, group), group)
     mean = F.try_divide(sets.dot(F.col("v"), F.col("s")) - sets.dot(F.col("v"), F.col("v")), (F.col("n") - 1).cast("double"))
     return both.select("vec_id", group, F.round(F.coalesce(mean, F.lit(0.0)), 6).alias("centrality"))
 
 
 def hashed_token_vectors(tokens: Column) -> Column:
     """Each token as its two hash buckets; two tokens' similarity is the share of common buckets."""
-    part = lambda t, at: (F.conv(F.substring(F.md5(t), at, 4), 16, 10).cast("int") % 64).cast("int")
-    return F.transform(tokens, lambda t: F.array(part(t, 1), part(t, 5)))
+    part = lambda h, at: (F.conv(F.substring(h, at, 4), 16, 10).cast("int") % 64).cast("int")
+    return F.transform(F.transform(tokens, F.md5), lambda h: F.array(part(h, 1), part(h, 5)))
 
 
 def max_sim_buckets(question: Column, paragraph: Column) -> Column:

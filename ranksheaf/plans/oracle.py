@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 STRIP = r"regexp_replace({}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
-WORDS = r"list_filter(string_split_regex(regexp_replace(lower({}), '[^\p{{L}}\p{{N}} ]', '', 'g'), ' +'), lambda t: t <> '')"
+WORDS = r"list_filter(string_split_regex(lower({}), '[^\p{{L}}\p{{M}}\p{{N}}]+'), lambda t: t <> '')"
+SPACED = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{M}}\p{{N}}]+|\s+')"
 HEX = "CAST('0x' || substr(md5({}), {}, {}) AS BIGINT)"
 
 ARRAYS = rf"""
@@ -17,15 +18,17 @@ paras AS (
 
 EVIDENCE = rf"""
 {ARRAYS},
-spans AS (SELECT *, ts[doc_id % n + 1][2:9] AS span FROM arrays WHERE n >= 5),
+heard AS (SELECT *, list_filter(ts, lambda t: len(t) > 0) AS spoken FROM arrays),
+chosen AS (SELECT *, spoken[doc_id % len(spoken) + 1] AS c FROM heard WHERE len(spoken) > 0),
+spans AS (SELECT *, CASE WHEN len(c) > 1 THEN c[2:9] ELSE c END AS span FROM chosen),
 asked AS (
   SELECT doc_id, n, ps, ts, list_filter(span, lambda t, i: i % 2 = 1) AS q, array_to_string(span, ' ') AS phrase,
          list_sum(list_transform(ts, lambda t: len(t))) / CAST(n AS DOUBLE) AS avgdl
-  FROM spans WHERE len(span) >= 3),
+  FROM spans),
 hashed AS (SELECT *, list_transform(q, lambda t: {HEX.format('t', 1, 4)} % 64) AS qb FROM asked),
 normed AS (SELECT *, list_sum(list_transform(qb, lambda x: len(list_filter(qb, lambda y: y = x)))) AS nq2 FROM hashed),
 ptoks AS (SELECT doc_id, n, avgdl, q, qb, nq2, phrase, pos, ts[pos] AS toks FROM (SELECT *, unnest(generate_series(1, n)) AS pos FROM normed)),
-marked AS (SELECT *, CASE WHEN contains(array_to_string(toks, ' '), phrase) THEN 1 ELSE 0 END AS is_gold, len(toks) AS len FROM ptoks),
+marked AS (SELECT *, CASE WHEN contains(' ' || array_to_string(toks, ' ') || ' ', ' ' || phrase || ' ') THEN 1 ELSE 0 END AS is_gold, len(toks) AS len FROM ptoks),
 occ AS (SELECT doc_id, n, avgdl, q, qb, pos, len, unnest(toks) AS tok FROM marked),
 tf0 AS (SELECT doc_id, n, avgdl, q, qb, pos, len, tok, count(*) AS tf, {HEX.format('tok', 1, 4)} % 64 AS b FROM occ GROUP BY ALL),
 tf1 AS (

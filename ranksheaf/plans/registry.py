@@ -144,9 +144,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, pos) AS
     )
 )
 def colbert_maxsim(spark, sf_dir):
-    d = ev.questioned(read(spark, sf_dir, "documents")).select("doc_id", vectors.hashed_token_vectors(F.col("q")).alias("qv"), F.posexplode("ts").alias("i", "toks"))
-    s = d.select("doc_id", (F.col("i") + 1).cast("long").alias("pos"), vectors.max_sim_buckets(F.col("qv"), vectors.hashed_token_vectors(F.col("toks"))).alias("score"))
-    return s.withColumn("rank", ev.by_score("score")).where("rank <= 5")
+    e = ev.evidence(read(spark, sf_dir, "documents"), late=True)
+    return e.where("rl <= 5").select("doc_id", "pos", F.col("late").alias("score"), F.col("rl").alias("rank"))
 
 
 MEANS = "CAST(count(*) AS BIGINT) AS n_queries, " + ", ".join(f"round(avg({m}), 6) AS {m}" for m in ev.METRICS)

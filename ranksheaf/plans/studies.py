@@ -44,45 +44,41 @@ def chat_messages(spark, sf_dir):
     return m.select("conv_id", "turn", F.size("m").cast("long").alias("n_messages"), F.array_join(F.transform("m", lambda x: F.concat(x["role"], F.lit("="), x["content"])), "\n").alias("chat"))
 
 
-@query(
-    over(
-        EVIDENCE + ", h AS (SELECT doc_id, string_agg(CAST(pos AS VARCHAR), ', ' ORDER BY pos) FILTER (rd <= 3 AND dense > 0.2) AS hint FROM evidence GROUP BY doc_id)",
-        "SELECT h.doc_id, 'Context:' || chr(10) || len(a.text) || chr(10) || chr(10) || 'Focus on: ' || coalesce(hint, '—') || chr(10) || chr(10) || 'Question: ' || array_to_string(k.q, ' ') AS prompt FROM h JOIN documents a USING (doc_id) JOIN asked k USING (doc_id)",
-    )
+HINTED = over(
+    EVIDENCE
+    + """, h AS (SELECT doc_id, string_agg(CAST(pos AS VARCHAR), ', ' ORDER BY pos) FILTER (rd <= 3 AND dense > 0.2) AS hint FROM evidence GROUP BY doc_id),
+c AS (SELECT doc_id, string_agg('[' || pos || '] ' || text, chr(10) ORDER BY pos) AS context FROM paras GROUP BY doc_id)""",
+    "SELECT h.doc_id, 'Context:' || chr(10) || context || chr(10) || chr(10) || 'Focus on: ' || coalesce(hint, '—') || chr(10) || chr(10) || 'Question: ' || array_to_string(k.q, ' ') AS prompt FROM h JOIN c USING (doc_id) JOIN asked k USING (doc_id)",
 )
-def hint_prompt(spark, sf_dir):
-    """The hinted prompt with the document's length in place of its text; hint_prompt_full has the text."""
-    return _hinted(spark, sf_dir, read(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("string").alias("context")))
 
 
-@query(
-    over(
-        EVIDENCE
-        + """, h AS (SELECT doc_id, string_agg(CAST(pos AS VARCHAR), ', ' ORDER BY pos) FILTER (rd <= 3 AND dense > 0.2) AS hint FROM evidence GROUP BY doc_id),
-c AS (SELECT doc_id, string_agg('[' || pos || '] ' || text, chr(10) ORDER BY pos) AS context FROM paras GROUP BY doc_id)""",
-        "SELECT h.doc_id, 'Context:' || chr(10) || context || chr(10) || chr(10) || 'Focus on: ' || coalesce(hint, '—') || chr(10) || chr(10) || 'Question: ' || array_to_string(k.q, ' ') AS prompt FROM h JOIN c USING (doc_id) JOIN asked k USING (doc_id)",
-    )
-)
-def hint_prompt_full(spark, sf_dir):
-    """The hinted prompt over all paragraphs of the document."""
-    return _hinted(spark, sf_dir, prompts.contexts(_paragraphs(spark, sf_dir), ["doc_id"]).select("doc_id", "context"))
+@query(HINTED)
+def hint_prompt(spark, sf_dir):
+    """The whole document's paragraphs, the places of the best ones and the question, put together within the document's row."""
+    d = ev.scored(read(spark, sf_dir, "documents"))
+    best = F.filter("s", lambda x: (x["rd"] <= 3) & (x["dense"] > 0.2))
+    places = F.transform(best, lambda x: (x["pos"] - 1).cast("int"))
+    return d.select("doc_id", prompts.context_first(prompts.numbered(F.col("ps")), F.array_join("q", " "), F.concat(F.lit("Focus on: "), prompts.hint(places))).alias("prompt"))
 
 
-def _hinted(spark: SparkSession, sf_dir: str, contexts: DataFrame) -> DataFrame:
-    """Per question: the document's context (doc_id, context), the places of the best paragraphs and the question."""
+@query(HINTED)
+def hint_prompt_full(spark, sf_dir):
+    """The same prompts from the prompt builder's tables: contexts and evidence joined by document."""
+    context = prompts.contexts(_paragraphs(spark, sf_dir), ["doc_id"]).select("doc_id", "context")
     e = _evidence(spark, sf_dir)
     h = e.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.when((F.col("rd") <= 3) & (F.col("dense") > 0.2), (F.col("pos") - 1).cast("int")))).alias("idx"))
     q = ev.questioned(read(spark, sf_dir, "documents")).select("doc_id", F.array_join("q", " ").alias("q"))
-    rows = h.join(q, "doc_id").join(contexts, "doc_id")
+    rows = h.join(q, "doc_id").join(context, "doc_id")
     return rows.select("doc_id", prompts.context_first(F.col("context"), F.col("q"), F.concat(F.lit("Focus on: "), prompts.hint(F.col("idx")))).alias("prompt"))
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two runs per question: the dense and the BM25 first paragraph as the answer, their top 3 as evidence."""
-    e = _evidence(spark, sf_dir)
-    ids = F.concat(F.lit("P"), "pos")
-    each = [e.groupBy("doc_id").agg(F.max(F.when(F.col(r) == 1, ids)).alias("answer"), F.array_sort(F.collect_list(F.when(F.col(r) <= 3, ids))).alias("refs")).withColumn("run", F.lit(name)) for r, name in (("rd", "A"), ("rb", "B"))]
-    return each[0].unionByName(each[1]).withColumnRenamed("doc_id", "query_id")
+    d = ev.scored(read(spark, sf_dir, "documents"))
+    ids = lambda kept: F.transform(kept, lambda x: F.concat(F.lit("P"), x["pos"].cast("string")))
+    upto = lambda r, k: ids(F.filter("s", lambda x: x[r] <= k))
+    run = lambda name, r: F.struct(F.lit(name).alias("run"), F.get(upto(r, 1), F.lit(0)).alias("answer"), F.array_sort(upto(r, 3)).alias("refs"))
+    return d.select(F.col("doc_id").alias("query_id"), F.inline(F.array(run("A", "rd"), run("B", "rb"))))
 
 
 RUNS = EVIDENCE + """, runs AS (
@@ -428,6 +424,13 @@ stored AS (
   SELECT system, round(composite + CASE WHEN system LIKE '%/fr' THEN 0.01 ELSE 0 END, 4) AS stored, system LIKE 'bm25/%' AS has_fixed FROM board WHERE system <> 'dense/de')"""
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """Written once, so that a result used several times is not computed again for each."""
+    path = _scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _board(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A system per method and language."""
     d = _detail(spark, sf_dir).join(read(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
@@ -446,7 +449,7 @@ FROM computed FULL JOIN stored USING (system)""",
 )
 def leaderboard_reconcile(spark, sf_dir):
     """Means of details against stored scores, some of which are missing, fixed or off."""
-    board = _board(spark, sf_dir)
+    board = _stored(_board(spark, sf_dir))
     off = F.when(F.col("system").endswith("/fr"), 0.01).otherwise(0.0)
     stored = board.where("system <> 'dense/de'").select("system", F.round(F.col("composite") + off, 4).alias("stored"), F.col("system").startswith("bm25/").alias("has_fixed"))
     names = corpus.literal_table(spark, [("dense", "hash"), ("bm25", "okapi")], "method string, model string")
@@ -470,9 +473,12 @@ def leaderboard_three_sorts(spark, sf_dir):
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A new folder under the shared one, or under a temporary one where none is set."""
-    top = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
-    return f"{top}/files-{uuid.uuid4().hex}"
+    """A new folder under the shared one; a temporary one is taken on one machine only, where none is set."""
+    context = spark.sparkContext
+    top = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
+    if not top and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{top or tempfile.mkdtemp(prefix='spark-')}/files-{uuid.uuid4().hex}"
 
 
 @query(over(ARRAYS, "SELECT CAST(doc_id AS VARCHAR) AS doc_id, para_id, CAST(pos AS BIGINT) AS pos, text FROM paras"))

@@ -46,6 +46,11 @@ def read_detail(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("query_id string, rouge_l double, ss double, iou double").option("header", True).csv(path)
 
 
+def read_vectors(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A vector cache: keys and one vector (array<float>) or one a token (array<array<float>>)."""
+    return spark.read.schema(schema).parquet(path)
+
+
 def read_pair_scores(spark: SparkSession, path: str) -> DataFrame:
     """query_id, para_id, pool_pos (order of the pool, not of the scores), score; one JSON object query -> [[id, score], ...]."""
     raw = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,array<array<string>>>").alias("m"))

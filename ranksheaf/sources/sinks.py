@@ -25,6 +25,11 @@ def write_combinations(predictions: DataFrame, path: str) -> None:
     rows.repartition("combo").write.mode("overwrite").partitionBy("combo").options(header=True, quoteAll=True, escape='"').csv(path)
 
 
+def write_vectors(vectors: DataFrame, path: str) -> None:
+    """A vector cache of single or multi-vectors, as Parquet."""
+    vectors.write.mode("overwrite").parquet(path)
+
+
 def write_detail(detail: DataFrame, path: str) -> None:
     write_csv(detail.select("query_id", "rouge_l", "ss", "iou"), path)
 

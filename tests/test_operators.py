@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SMALL
+from ranksheaf.functions import text
 from ranksheaf.operators import analysis, evidence, inference, pools, prompts, vectors
 from ranksheaf.sources import corpus, sinks
 from ranksheaf.streaming import scoring
@@ -43,7 +44,7 @@ def test_frequent_words_take_the_floor(spark):
 
 
 def test_short_and_empty_documents_ask_nothing(spark):
-    assert evidence.evidence(docs(spark, [(1, "one\ntwo"), (2, ""), (3, None), (4, "___\n...")])).count() == 0
+    assert evidence.evidence(docs(spark, [(2, ""), (3, None), (4, "___\n...")])).count() == 0
     assert evidence.evidence(docs(spark, [])).count() == 0
 
 
@@ -151,8 +152,8 @@ def test_two_stages(spark, mode):
 def test_merge_refuses_other_questions(spark):
     a = spark.createDataFrame([("q1", "x", ["P1"])], "query_id string, answer string, refs array<string>")
     b = spark.createDataFrame([("q2", "y", ["P2"])], "query_id string, answer string, refs array<string>")
-    with pytest.raises(ValueError):
-        inference.merged(a, b)
+    with pytest.raises(Exception, match="different questions"):
+        inference.merged(a, b).collect()
     assert inference.merged(a, a).first().answer == "x"
 
 
@@ -216,3 +217,63 @@ def test_nearest_meets_a_block_in_parts(spark):
     for q in range(0, 600, 50):
         best = sorted((-sum(a * b for a, b in zip(rows[q][2], r[2], strict=True)), r[0]) for r in rows if r[0] // 25 != q // 25)[:2]
         assert [found[q, k] for k in (1, 2)] == [(i, -s) for s, i in best]
+
+
+def test_words_keep_their_marks(spark):
+    rows = spark.createDataFrame([("ที่น้ำ ไหล",), ("end.Next\tword",), ("É é-x_y 1,5",), ("...",), (None,)], "t string")
+    got = [r.w for r in rows.select(text.words(F.col("t")).alias("w")).collect()]
+    assert got == [["ที่น้ำ", "ไหล"], ["end", "next", "word"], ["é", "é", "x", "y", "1", "5"], [], None]
+    spaced = rows.select(text.words_and_spaces(F.col("t")).alias("w")).first().w
+    assert spaced == ["ที่น้ำ", " ", "ไหล"]
+
+
+def test_every_document_with_a_word_is_asked(spark):
+    rows = [(0, "one"), (1, "a\n...\nb c"), (2, "___"), (3, "x y z\nx y z")]
+    e = evidence.evidence(docs(spark, rows))
+    assert {(r.doc_id, r.n) for r in e.select("doc_id", "n").distinct().collect()} == {(0, 1), (1, 2), (3, 2)}
+    assert {(r.doc_id, r.pos) for r in e.where("is_gold = 1").collect()} == {(0, 1), (1, 2), (3, 1), (3, 2)}
+
+
+def test_another_tokenizer_can_be_put_in(spark):
+    letters = lambda t: F.split(t, "(?!$)")
+    e = evidence.evidence(docs(spark, [(0, "ab\nba")]), tokenize=letters).collect()
+    assert [r.len for r in e] == [2, 2]
+
+
+def test_ranks_and_run_lengths(spark):
+    df = spark.createDataFrame([([0.5, 0.9, 0.5, -1.0], ["b", "a", "b"]), ([], [])], "s array<double>, w array<string>")
+    got = df.select(evidence.ranks(F.col("s")).alias("r"), evidence.run_lengths(F.col("w")).alias("n")).collect()
+    assert (got[0].r, got[0].n) == ([2, 1, 3, 4], [1, 2]) and (got[1].r, got[1].n) == ([], [])
+
+
+def test_seams_for_models(spark):
+    class Halves:
+        def segment(self, texts):
+            return [[t[: len(t) // 2], " ", t[len(t) // 2 :]] for t in texts]
+
+    class Lengths:
+        def logits(self, prompts):
+            return [[len(p), 3.0] for p in prompts]
+
+    df = spark.createDataFrame([("Abcd",), ("a b a",)], "t string")
+    assert [r.w for r in df.select(inference.segmented(Halves)(F.col("t")).alias("w")).collect()] == [["ab", "cd"], ["a ", "b a"]]
+    p = [r.p for r in df.select(inference.yes_no_scored(F.col("t"), Lengths).alias("p")).collect()]
+    assert p == pytest.approx([1 / (1 + math.exp(-1)), 1 / (1 + math.exp(-2))])
+    v = df.select(inference.embedded_tokens(F.col("t")).alias("v")).collect()[1].v
+    assert len(v) == 3 and v[0] == v[2] and sum(v[0]) == 1.0 and len(v[0]) == 64
+
+
+def test_runs_of_different_questions_fail(spark):
+    a = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, gold int")
+    p = spark.createDataFrame([(1, 1)], "doc_id long, predicted int")
+    assert analysis.with_predictions(a.where("doc_id = 1"), p, "doc_id", "predicted").first().predicted == 1
+    with pytest.raises(Exception, match="no prediction for 2"):
+        analysis.with_predictions(a, p, "doc_id", "predicted").collect()
+
+
+def test_vectors_of_any_width(spark):
+    rows = [(i, i % 2, [float(i), 1.0, 0.0]) for i in range(50)]
+    v = vectors.placed(spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>"))
+    got = {r.vec_id: r.centrality for r in vectors.centrality(v, "doc_id").collect()}
+    assert got[0] == 1.0 and len(got) == 50
+    assert vectors.blend_sweep(v, [0.0, 1.0]).count() == 2

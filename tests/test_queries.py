@@ -6,7 +6,7 @@ import pytest
 
 from conftest import ROOT, SMALL
 from oracle import assert_same
-from ranksheaf.plans import extras, registry, studies  # noqa: F401
+from ranksheaf.plans import additions, extras, registry, studies  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
@@ -29,11 +29,13 @@ def test_hinted_prompts_hold_the_documents(spark):
         assert r.prompt == f"Context:\n{context[r.doc_id]}\n\n{asked}"
 
 
-def test_entry_works_without_the_optional_part(tmp_path):
+@pytest.mark.parametrize("kept", [(), ("corpus_pipeline.py",)])
+def test_entry_works_without_the_optional_part(tmp_path, kept):
     import shutil
 
     shutil.copytree(ROOT / "ranksheaf", tmp_path / "ranksheaf", ignore=shutil.ignore_patterns("llm", "__pycache__"))
-    shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
+    for name in ("__spark_entry__.py", *(k for k in kept if (ROOT / k).exists())):
+        shutil.copy(ROOT / name, tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'bm25_topk' in q and 'pipeline' not in q; assert not set(e.oracle_sql()) - set(q)"
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=env)
