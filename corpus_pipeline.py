@@ -1,18 +1,23 @@
 """Corpus pipeline: quality, exact copies, near copies, mixture, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as
-the next stage's docs. All but the last return the columns of documents.
+the next stage's docs; what a stage read is deleted once the next one's result stands. All but the last return
+the columns of documents.
+
+Defined cases: null, empty and white-space texts weigh nothing, are copies of each other if equal, are near to
+nothing, have size 0 and pack as the single id 0; very long texts go through whole; repeated rows are copies of each
+other; a null doc_id is the first to go among copies; empty tables give empty tables; further columns stay until
+packing, whose result has columns of its own.
 """
 
 from __future__ import annotations
 
 import uuid
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ranksheaf.llm import exact_dedup, mixing, near_dedup, packing, quality
-from ranksheaf.llm.common import shared_dir, table
+from ranksheaf.llm.common import delete, shared_dir, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,6 +42,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 1,024 tokens."""
+    import public_tokenizers
+
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -53,9 +60,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
         path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
