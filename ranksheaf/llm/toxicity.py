@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import filterfalse, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +50,9 @@ NAMES = ["words", "insults", "learned", "learned_count", "learned_kinds", "near_
 CLASSES = np.zeros(256, np.int64)
 CLASSES[65:91], CLASSES[97:123], CLASSES[48:58], CLASSES[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 1, 2, 3, 4
 CLASSES[33] = 5
+HEAD = min(BEGINNINGS)
 _drawn = re.compile(r"([^\W\d_])\1\1")
+_insults, _you = frozenset(INSULTS), frozenset(YOU)
 
 
 def entries_of(word: str) -> list[str]:
@@ -57,26 +60,45 @@ def entries_of(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in BEGINNINGS if len(word) > n)]
 
 
-def features(text: str | None, lexicon: frozenset[str], fixed: frozenset[str] = frozenset(INSULTS), you: frozenset[str] = frozenset(YOU)) -> list[float]:
+def _marked(kinds: set[str], lexicon: frozenset[str], heads: frozenset[str]) -> set[str]:
+    """Words with an entry in the lexicon; heads are the first signs of its beginnings."""
+    found = kinds & lexicon
+    if not heads.isdisjoint({w[:HEAD] for w in kinds}):
+        found |= {w for w in kinds if w[:HEAD] in heads and not lexicon.isdisjoint(entries_of(w))}
+    return found - {""}
+
+
+def _drawn_out(kinds: set[str]) -> int:
+    """How many words hold a letter three times running; words are only looked at if any sign stands so."""
+    signs = np.frombuffer("\n".join(kinds).encode("utf-32-le"), np.uint32)
+    same = signs[1:] == signs[:-1]
+    return sum(1 for w in kinds if _drawn.search(w)) if (same[1:] & same[:-1]).any() else 0
+
+
+def heads_of(lexicon: frozenset[str]) -> frozenset[str]:
+    return frozenset(e[:HEAD] for e in lexicon if e.endswith("*"))
+
+
+def features(text: str | None, lexicon: frozenset[str], heads: frozenset[str] | None = None) -> list[float]:
+    """The features of a text; heads, if at hand, are heads_of(lexicon). Sets and maps keep most words out of the interpreter."""
     text = text or ""
     raw = text.split()
-    lowered = [w.strip(EDGE) for w in text.lower().split()]
+    lowered = list(map(str.strip, text.lower().split(), repeat(EDGE)))
     kinds = set(lowered)
-    marked = {w for w in kinds if w and not lexicon.isdisjoint(entries_of(w))}
-    insults = kinds & fixed
-    hidden = [w for w in kinds if w and not w.isalpha() and any(c.isalpha() for c in w)]
-    read_back = sum(w.translate(LEET) in fixed for w in hidden)
+    marked, insults = _marked(kinds, lexicon, heads_of(lexicon) if heads is None else heads), kinds & _insults
+    hidden = [w for w in filterfalse(str.isalpha, kinds) if any(map(str.isalpha, w))]
+    read_back = sum(w.translate(LEET) in _insults for w in hidden)
     any_hit, hits, near, fixed_hits = marked | insults, 0, 0, 0
     if any_hit:
         at = [i for i, w in enumerate(lowered) if w in any_hit]
         hits, fixed_hits = sum(lowered[i] in marked for i in at), sum(lowered[i] in insults for i in at)
-        near = sum(not you.isdisjoint(lowered[max(0, i - NEAR) : i + NEAR + 1]) for i in at) / len(at)
+        near = sum(not _you.isdisjoint(lowered[max(0, i - NEAR) : i + NEAR + 1]) for i in at) / len(at)
     n, per = max(len(raw), 1), np.bincount(CLASSES[np.frombuffer(text.encode(), np.uint8)], minlength=6)
     letters, size = max(int(per[1] + per[2]), 1), max(int(per.sum()), 1)
     return [
         float(np.log1p(len(raw))), fixed_hits / n, hits / n, float(np.log1p(hits)), float(len(marked)), near, per[1] / letters,
-        sum(w.isupper() and len(w) > 1 for w in raw) / n, per[4] / size, per[5] / size, len(hidden) / max(len(kinds), 1),
-        float(read_back), sum(1 for w in kinds if _drawn.search(w)) / max(len(kinds), 1),
+        sum(len(w) > 1 for w in filter(str.isupper, raw)) / n, per[4] / size, per[5] / size, len(hidden) / max(len(kinds), 1),
+        float(read_back), _drawn_out(kinds) / max(len(kinds), 1),
     ]
 
 
@@ -109,10 +131,11 @@ def learned_lexicon(known: DataFrame) -> frozenset[str]:
 
 def featured(docs: DataFrame, lexicon: frozenset[str], more: list[str] = ()) -> DataFrame:
     """doc_id, the further columns and features."""
+    heads = heads_of(lexicon)
 
     def work(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tables:
-            rows = [features(t.as_py(), lexicon) for t in batch.column("text")]
+            rows = [features(t.as_py(), lexicon, heads) for t in batch.column("text")]
             yield pa.record_batch([*(batch.column(c) for c in ("doc_id", *more)), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", *more, "features"])
 
     kinds = dict(docs.dtypes)
