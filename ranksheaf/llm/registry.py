@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_extract, mixing, near_dedup, ogg, packing, quality, secret_scan, toxicity, url_filter
+from . import exact_dedup, html_extract, line_dedup, mixing, near_dedup, ogg, packing, quality, secret_scan, toxicity, url_filter
 from .common import table
 
 
@@ -52,13 +52,21 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents")).drop("keep_bitmap")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_near_dedup, op2_url_reputation, op3_toxicity, op4_ogg_media, op5_secret_scan, op6_html_extract, op7_exact_dedup, op8_pack, op9_quality, op10_mix_sources)
+    for f in (
+        op1_near_dedup, op2_url_reputation, op3_toxicity, op4_ogg_media, op5_secret_scan, op6_html_extract, op7_exact_dedup, op8_pack, op9_quality, op10_mix_sources,
+        op11_line_dedup,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_url_reputation": url_filter.SQL,
     "op7_exact_dedup": exact_dedup.SQL,
     "op10_mix_sources": mixing.SQL,
+    "op11_line_dedup": line_dedup.SQL,
 }
