@@ -17,6 +17,8 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 #: A side of at most this many narrow rows (ids, sums) may be broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: The same for sides that hold strings or bitmaps, in bytes.
+BROADCAST_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +75,12 @@ def checked_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) ->
     return F.broadcast(df) if rows <= limit else df
 
 
+def broadcast_if_small(df: DataFrame, strings: list[str], limit: int = BROADCAST_BYTES) -> DataFrame:
+    """With a broadcast hint if its rows, measured with the bytes of their strings, allow it; otherwise as it is, for a shuffled join."""
+    size = df.agg(F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in strings), F.lit(64).cast("long")))).first()[0] or 0
+    return F.broadcast(df) if size <= limit else df
+
+
 def join_with_hot_keys(left: DataFrame, right: DataFrame, key: list[str], weight: str, total: int, parts: int = 1000) -> DataFrame:
     """Inner join on null-free keys, unique in right, without a task that gets a hot key's rows whole.
 

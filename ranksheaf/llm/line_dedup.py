@@ -36,12 +36,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
 
-from .common import ascii_lower, delete, durable, durable_table, shared_dir
+from .common import BROADCAST_BYTES, ascii_lower, broadcast_if_small, delete, durable, durable_table, shared_dir
 
 LEAST, DOCUMENTS = 20, 3
 SPACE = " \t\n\x0b\x0c\r"
-#: Bitmaps and their keys of at most this many bytes together are broadcast to the texts; beyond, both are shuffled.
-BROADCAST_BYTES = 32 << 20
 GOES, WAITS, EDGE = 0, 1, 2
 FOUND = "kind int, h1 long, h2 long, d long, t long, pos int, part int, n long, first long, last long"
 
@@ -178,8 +176,7 @@ def with_bitmaps(docs: DataFrame, least: int = LEAST, documents: int = DOCUMENTS
     """identified() rows with n_dropped and keep_bitmap."""
     places = dropped(docs, least, documents, parts).groupBy("d", "t").agg(F.collect_set("pos").alias("_gone"))
     marks = durable(places.select(F.col("d").alias("_d"), F.col("t").alias("_t"), F.size("_gone").cast("long").alias("_n"), bitmap("_gone").alias("keep_bitmap")))
-    weight = marks.agg(F.sum(F.octet_length("keep_bitmap") + 64)).first()[0] or 0
-    both = identified(docs).join(F.broadcast(marks) if weight <= broadcast_bytes else marks, ["_d", "_t"], "left")
+    both = identified(docs).join(broadcast_if_small(marks, ["keep_bitmap"], broadcast_bytes), ["_d", "_t"], "left")
     return both.withColumn("n_dropped", F.coalesce("_n", F.lit(0).cast("long"))).drop("_n")
 
 

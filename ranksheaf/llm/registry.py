@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_extract, line_dedup, mixing, near_dedup, ogg, packing, quality, secret_scan, toxicity, url_filter
+from . import divergence, exact_dedup, html_extract, line_dedup, mixing, near_dedup, ogg, packing, quality, secret_scan, toxicity, url_filter
 from .common import table
 
 
@@ -56,11 +56,15 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents")).drop("keep_bitmap")
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_near_dedup, op2_url_reputation, op3_toxicity, op4_ogg_media, op5_secret_scan, op6_html_extract, op7_exact_dedup, op8_pack, op9_quality, op10_mix_sources,
-        op11_line_dedup,
+        op11_line_dedup, op12_source_divergence,
     )
 }
 
@@ -69,4 +73,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_exact_dedup": exact_dedup.SQL,
     "op10_mix_sources": mixing.SQL,
     "op11_line_dedup": line_dedup.SQL,
+    "op12_source_divergence": divergence.SQL,
 }
