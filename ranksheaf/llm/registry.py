@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import divergence, exact_dedup, html_extract, line_dedup, mixing, near_dedup, ogg, packing, quality, secret_scan, toxicity, url_filter
+from . import divergence, exact_dedup, html_extract, line_dedup, mixing, near_dedup, ogg, packing, quality, secret_scan, toxicity, url_filter, whitening
 from .common import table
 
 
@@ -60,11 +60,15 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_near_dedup, op2_url_reputation, op3_toxicity, op4_ogg_media, op5_secret_scan, op6_html_extract, op7_exact_dedup, op8_pack, op9_quality, op10_mix_sources,
-        op11_line_dedup, op12_source_divergence,
+        op11_line_dedup, op12_source_divergence, op13_whitening,
     )
 }
 
