@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import citations
+from . import quantiles
 
 TIE, DISAGREE = 1e-9, 0.0005
 WEIGHTS = {"rouge_l": 0.35, "ss": 0.45, "iou": 0.20}
@@ -50,19 +51,17 @@ def rates(tp: Column, fp: Column, fn: Column) -> list[Column]:
 
 
 def percentiles(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
-    """Count, mean, population deviation, linear percentiles and extremes."""
-    ps = F.percentile(column, F.array(*(F.lit(p) for p in (0.5, 0.9, 0.95, 0.99))))
-    a = df.groupBy(*keys).agg(F.count(column).alias("n"), F.round(F.avg(column), 6).alias("mean"), F.round(F.stddev_pop(column), 6).alias("std"), ps.alias("p"), F.min(column).alias("least"), F.max(column).alias("most"))
-    return a.select(*keys, "n", "mean", "std", *(F.round(F.col("p")[i], 6).alias(name) for i, name in enumerate(("p50", "p90", "p95", "p99"))), "least", "most")
+    """Count, mean, population deviation, linear percentiles and extremes; a hot group is cut by value."""
+    plain = df.groupBy(*keys).agg(F.round(F.avg(column), 6).alias("mean"), F.round(F.stddev_pop(column), 6).alias("std"), F.min(column).alias("least"), F.max(column).alias("most"))
+    both = quantiles.matched(plain, quantiles.linear(df, column, keys, [0.5, 0.9, 0.95, 0.99]), keys, "left")
+    return both.select(*keys, F.coalesce("n", F.lit(0).cast("long")).alias("n"), "mean", "std", *(F.round(F.col("p")[i], 6).alias(name) for i, name in enumerate(("p50", "p90", "p95", "p99"))), "least", "most")
 
 
 def index_percentile(df: DataFrame, column: str, keys: list[str], share: float) -> DataFrame:
-    """The value at floor(share * n) of the sorted values, clamped, per group; rows are counted per value before any sort."""
-    w = Window.partitionBy(*keys)
-    per = df.groupBy(*keys, column).agg(F.count(F.lit(1)).alias("_c"))
-    per = per.withColumn("_upto", F.sum("_c").over(w.orderBy(column))).withColumn("_n", F.sum("_c").over(w))
-    at = F.least(F.floor(F.lit(share) * F.col("_n")) + 1, F.col("_n"))
-    return per.where((F.col("_upto") >= at) & (F.col("_upto") - F.col("_c") < at)).select(*keys, F.col(column).alias("value"))
+    """The value at floor(share * n) of the sorted values, clamped, per group; a hot group is cut by value."""
+    at = lambda n: F.array(F.least(F.floor(F.lit(share) * n).cast("long") + 1, n))
+    kind = dict(df.dtypes)[column]
+    return quantiles.at_ranks(df, column, keys, at).select(*keys, F.get("found", F.lit(0)).cast(kind).alias("value"))
 
 
 def over_budgets(df: DataFrame, column: str, budgets: list[int]) -> DataFrame:
@@ -87,17 +86,9 @@ def correlation(df: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
     return s.select(*keys, "n", F.round(F.coalesce(F.try_divide(F.col("c"), F.col("sa") * F.col("sb")), F.lit(0.0)), 6).alias("r"))
 
 
-def rank_sum_auc(df: DataFrame, score: str, label: str, tie: str, keys: list[str]) -> DataFrame:
-    """Area under the curve by the rank sum, the better of both directions; 0.5 with one class.
-
-    Ranks come from counts per distinct score and prefix sums over these, never from a global sort of rows;
-    equal scores are ranked in the order of ``tie``, as a sum over their places, which ties do not change
-    but for the split between classes, so ties count half.
-    """
-    per = df.groupBy(*keys, score).agg(F.count(F.lit(1)).alias("n"), F.sum(label).alias("pos"))
-    w = Window.partitionBy(*keys).orderBy(score)
-    per = per.withColumn("before", F.sum("n").over(w) - F.col("n"))
-    s = per.groupBy(*keys).agg(F.sum(F.col("pos") * (F.col("before") + (F.col("n") + 1) / 2.0)).alias("ranks"), F.sum("pos").alias("p"), F.sum("n").alias("all"))
+def rank_sum_auc(df: DataFrame, score: str, label: str, keys: list[str]) -> DataFrame:
+    """Area under the curve by the rank sum, the better of both directions; 0.5 with one class. Ties count half."""
+    s = quantiles.rank_sums(df, score, label, keys)
     n = F.col("all") - F.col("p")
     auc = F.coalesce(F.try_divide(F.col("ranks") - F.col("p") * (F.col("p") + 1) / 2.0, (F.col("p") * n).cast("double")), F.lit(0.5))
     return s.withColumn("a", auc).select(*keys, F.col("p").alias("positives"), n.alias("negatives"), F.round(F.greatest("a", 1 - F.col("a")), 6).alias("auc"))
@@ -106,7 +97,7 @@ def rank_sum_auc(df: DataFrame, score: str, label: str, tie: str, keys: list[str
 def best_threshold(df: DataFrame, score: str, label: str) -> DataFrame:
     """The best of 19 percentiles in two directions by accuracy, with its confusion counts."""
     shares = [round(0.05 * i, 2) for i in range(1, 20)]
-    cuts = df.agg(F.percentile(score, F.array(*(F.lit(x) for x in shares))).alias("c")).select(F.posexplode("c").alias("i", "cut"))
+    cuts = quantiles.linear(df, score, [], shares).select(F.posexplode("p").alias("i", "cut"))
     rows = df.select(score, label).join(F.broadcast(cuts)).withColumn("above", F.explode(F.array(F.lit(True), F.lit(False))))
     yes = F.when(F.col("above"), F.col(score) > F.col("cut")).otherwise(F.col(score) <= F.col("cut"))
     truth = F.col(label) == 1

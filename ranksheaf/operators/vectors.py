@@ -6,10 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sets
+from . import neighbours
 
-PER_DOCUMENT, QUERY_EVERY, BLOCK = 25, 50, 256
-#: Parts of the vectors that meet a block, for each block there is: a part stays as large when the table grows.
-PARTS = 4
+PER_DOCUMENT, QUERY_EVERY = 25, 50
 
 
 def placed(embeddings: DataFrame) -> DataFrame:
@@ -46,22 +45,9 @@ def blend_sweep(vectors: DataFrame, alphas: list[float]) -> DataFrame:
 
 
 def nearest(vectors: DataFrame, k: int) -> DataFrame:
-    """The k nearest vectors of other documents for every query vector (id divisible by 50), exactly.
-
-    Queries are packed into blocks of up to BLOCK, so each vector is sent once a block, and each vector keeps
-    to its k best per query before anything is shuffled by query. A block meets the vectors in parts, by hash
-    of their id, so that no task gets them all.
-    """
-    q = vectors.where(F.col("vec_id") % QUERY_EVERY == 0).select(F.floor(F.col("vec_id") / (QUERY_EVERY * BLOCK)).alias("block"), F.struct(F.col("vec_id").alias("query_id"), F.col("doc_id").alias("q_doc"), F.col("v").alias("q")).alias("s"))
-    blocks = q.groupBy("block").agg(F.collect_list("s").alias("queries"))
-    last = vectors.agg(F.floor(F.max("vec_id") / (QUERY_EVERY * BLOCK)).alias("last")).withColumn("parts", PARTS * (F.col("last") + 1))
-    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), c))
-    sent = vectors.join(F.broadcast(last)).select("vec_id", "doc_id", "v", F.pmod(F.xxhash64("vec_id"), F.col("parts")).alias("part"), upto(F.col("last")).alias("block"))
-    blocks = blocks.join(F.broadcast(last)).select("block", "queries", upto(F.col("parts") - 1).alias("part"))
-    met = sent.join(blocks, ["block", "part"]).select("vec_id", "doc_id", "v", F.explode("queries").alias("s")).where("s.q_doc <> doc_id")
-    scored = met.select("s.query_id", "vec_id", F.round(sets.dot(F.col("s.q"), F.col("v")), 9).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return scored.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+    """The k nearest vectors of other documents for every query vector (id divisible by 50), exactly, through a partitioned index."""
+    queries = vectors.where(F.col("vec_id") % QUERY_EVERY == 0).select(F.col("vec_id").alias("query_id"), F.col("doc_id").alias("q_doc"), F.col("v").alias("q"))
+    return neighbours.nearest(vectors, queries, k)
 
 
 def centrality(vectors: DataFrame, group: str) -> DataFrame:

@@ -9,10 +9,10 @@ from ..functions import rouge, text
 from ..operators import analysis, inference, pools, prompts
 from ..operators import evidence as ev
 from ..operators.vectors import hashed_token_vectors
-from ..sources import corpus, sinks
+from ..sources import corpus, scratch, sinks
 from .oracle import ARRAYS, EVIDENCE, HEX, SPACED, over
 from .registry import LCS, TAGGED, TAG_RE, TOKENS_AS_BUCKETS, _answers, _evidence, query, read
-from .studies import FORM, LABELLED, _form, _labelled, _scratch
+from .studies import FORM, LABELLED, _form, _labelled
 
 LATE = EVIDENCE + f""", sims AS (
   SELECT doc_id, pos, list_sum(list_transform({TOKENS_AS_BUCKETS.format('q')}, lambda a: coalesce(list_max(list_transform({TOKENS_AS_BUCKETS.format('toks')},
@@ -62,7 +62,7 @@ def yes_no_rerank(spark, sf_dir):
 @query("SELECT vec_id, CAST(len(embedding) AS BIGINT) AS width, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 5) AS norm FROM embeddings")
 def vector_cache_round_trip(spark, sf_dir):
     """Vectors written to the cache's Parquet and read back."""
-    path = _scratch(spark)
+    path = scratch.folder(spark)
     sinks.write_vectors(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), path)
     v = corpus.read_vectors(spark, path, "vec_id long, embedding array<float>")
     squares = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
@@ -72,7 +72,7 @@ def vector_cache_round_trip(spark, sf_dir):
 @query(over(ARRAYS, f"SELECT doc_id, pos, CAST(len(tokens) AS BIGINT) AS n_vectors, CAST(coalesce(list_sum(list_transform({TOKENS_AS_BUCKETS.format('tokens')}, lambda v: v[1] + v[2])), 0) AS BIGINT) AS total FROM paras"))
 def multi_vector_cache_round_trip(spark, sf_dir):
     """One vector a token and paragraph (here its two hash buckets), written to the multi-vector cache and read back."""
-    path = _scratch(spark)
+    path = scratch.folder(spark)
     p = ev.paragraphs(read(spark, sf_dir, "documents")).select("doc_id", "pos", F.transform(hashed_token_vectors(F.col("tokens")), lambda v: v.cast("array<float>")).alias("vectors"))
     sinks.write_vectors(p, path)
     v = corpus.read_vectors(spark, path, "doc_id long, pos long, vectors array<array<float>>")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -14,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import sets, text
 from ..operators import analysis, inference, pools, prompts, vectors
 from ..operators import evidence as ev
-from ..sources import corpus, sinks
+from ..sources import corpus, scratch, sinks
 from .oracle import ARRAYS, EVIDENCE, HEX, VECTORS, WORDS, over
 from .registry import MIN_MAX, SETS, STATS, STRIPPED, SUMMARY, _detail, _evidence, _paragraphs, _sets, query, read
 
@@ -367,7 +364,7 @@ b AS (SELECT *, coalesce((ranks - p * (p + 1) / 2.0) / nullif(CAST(p * n AS DOUB
     )
 )
 def auc_ranksum(spark, sf_dir):
-    return analysis.rank_sum_auc(_labelled(spark, sf_dir), "s", "y", "doc_id", ["lang"])
+    return analysis.rank_sum_auc(_labelled(spark, sf_dir), "s", "y", ["lang"])
 
 
 @query(
@@ -424,13 +421,6 @@ stored AS (
   SELECT system, round(composite + CASE WHEN system LIKE '%/fr' THEN 0.01 ELSE 0 END, 4) AS stored, system LIKE 'bm25/%' AS has_fixed FROM board WHERE system <> 'dense/de')"""
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """Written once, so that a result used several times is not computed again for each."""
-    path = _scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _board(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A system per method and language."""
     d = _detail(spark, sf_dir).join(read(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
@@ -449,7 +439,7 @@ FROM computed FULL JOIN stored USING (system)""",
 )
 def leaderboard_reconcile(spark, sf_dir):
     """Means of details against stored scores, some of which are missing, fixed or off."""
-    board = _stored(_board(spark, sf_dir))
+    board = scratch.stored(_board(spark, sf_dir))
     off = F.when(F.col("system").endswith("/fr"), 0.01).otherwise(0.0)
     stored = board.where("system <> 'dense/de'").select("system", F.round(F.col("composite") + off, 4).alias("stored"), F.col("system").startswith("bm25/").alias("has_fixed"))
     names = corpus.literal_table(spark, [("dense", "hash"), ("bm25", "okapi")], "method string, model string")
@@ -472,21 +462,12 @@ def leaderboard_three_sorts(spark, sf_dir):
 # -- file formats
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A new folder under the shared one; a temporary one is taken on one machine only, where none is set."""
-    context = spark.sparkContext
-    top = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
-    if not top and not context.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return f"{top or tempfile.mkdtemp(prefix='spark-')}/files-{uuid.uuid4().hex}"
-
-
 @query(over(ARRAYS, "SELECT CAST(doc_id AS VARCHAR) AS doc_id, para_id, CAST(pos AS BIGINT) AS pos, text FROM paras"))
 def corpus_round_trip(spark, sf_dir):
     """Nested corpus documents written as JSON and read back into paragraphs."""
     a = ev.paragraph_arrays(read(spark, sf_dir, "documents")).where("n > 0")
     named = F.transform("ps", lambda p, i: F.struct(F.concat(F.lit("P"), (i + 1).cast("string")).alias("para_id"), p.alias("text")))
-    path = _scratch(spark)
+    path = scratch.folder(spark)
     a.select(F.array(F.struct(F.col("doc_id").cast("string").alias("doc_id"), named.alias("paragraphs"))).alias("docs")).write.json(path)
     return corpus.paragraphs(spark.read.schema(corpus.CORPUS).json(path)).where("is_valid").select("doc_id", "para_id", F.col("pos").cast("long").alias("pos"), "text")
 
@@ -496,7 +477,7 @@ def submission_round_trip(spark, sf_dir):
     """A submission with line breaks and quotes in its answers, written as CSV and read back."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     p = _sets(spark, sf_dir).join(docs, "doc_id").select(F.col("doc_id").cast("string").alias("query_id"), F.col("doc_id").alias("query_ord"), F.col("text").alias("answer"), F.col("dense3").alias("refs"))
-    path = _scratch(spark)
+    path = scratch.folder(spark)
     sinks.write_submission(p, path)
     return corpus.read_submission(spark, path).select("query_id", "answer", F.array_join(F.array_sort("refs"), ",").alias("refs"), F.size("refs").cast("long").alias("n_refs"))
 

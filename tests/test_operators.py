@@ -79,7 +79,7 @@ def test_adaptive_keeps_one_at_least(spark):
 def test_correlation_and_auc_edges(spark):
     df = spark.createDataFrame([(1.0, 5.0, 1), (2.0, 5.0, 1)], "a double, b double, y int").withColumn("k", F.lit(0))
     assert analysis.correlation(df, "a", "b", ["k"]).first().r == 0.0
-    assert analysis.rank_sum_auc(df, "a", "y", "a", ["k"]).first().auc == 0.5
+    assert analysis.rank_sum_auc(df, "a", "y", ["k"]).first().auc == 0.5
 
 
 def test_leaderboard_cases(spark):
@@ -203,22 +203,6 @@ def test_index_percentile_counts_values_before_it_sorts(spark, share):
     assert "partial_count" in out._jdf.queryExecution().executedPlan().toString()
 
 
-def test_nearest_meets_a_block_in_parts(spark):
-    rows = [(i, i % 3, [float((i * k) % 7) for k in range(1, 5)]) for i in range(600)]
-    v = vectors.placed(spark.createDataFrame(rows, "vec_id long, label long, embedding array<double>"))
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        out = vectors.nearest(v, 2)
-        found = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in out.collect()}
-        plan = out._jdf.queryExecution().executedPlan().toString()
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert re.search(r"hashpartitioning\(block#\d+L?, part#\d+L?", plan)
-    for q in range(0, 600, 50):
-        best = sorted((-sum(a * b for a, b in zip(rows[q][2], r[2], strict=True)), r[0]) for r in rows if r[0] // 25 != q // 25)[:2]
-        assert [found[q, k] for k in (1, 2)] == [(i, -s) for s, i in best]
-
-
 def test_words_keep_their_marks(spark):
     rows = spark.createDataFrame([("ที่น้ำ ไหล",), ("end.Next\tword",), ("É é-x_y 1,5",), ("...",), (None,)], "t string")
     got = [r.w for r in rows.select(text.words(F.col("t")).alias("w")).collect()]
