@@ -61,6 +61,13 @@ def truncate_words(tokens: Column, n: int) -> Column:
     return F.array_join(F.slice(tokens, 1, n), " ")
 
 
+def cut_content_words(tokens: Column, n: int) -> Column:
+    """The text of tokens and the blanks between them up to the n-th token that is no blank, blanks at the ends stripped; shorter texts as they are, stripped."""
+    spoken = F.filter(F.transform(tokens, lambda t, i: F.when(strip(t) != "", i)), lambda i: i.isNotNull())
+    past = F.get(spoken, F.lit(n))  # where the first word that is too many stands
+    return strip(F.array_join(F.slice(tokens, F.lit(1), F.coalesce(past, F.size(tokens))), ""))
+
+
 def truncate_chars(text: Column, n: int, mark: str = "") -> Column:
     """The first n code points; with a mark, cut texts lose trailing blanks and end in it."""
     if not mark:

@@ -83,12 +83,37 @@ def best_iou(e: DataFrame, most: int, rank: str = "rd") -> DataFrame:
     return rows.groupBy(F.col(rank).alias("k")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("best"), 6).alias("best_iou"))
 
 
+def citation_rate(rank: Column, rates: list[float]) -> Column:
+    """How often rank r is cited: the first always, the next ones as measured, later ones falling by a fifth each, 0.05 at least."""
+    known = F.element_at(F.array(*(F.lit(x) for x in rates)), F.least(rank, F.lit(len(rates))).cast("int"))
+    rest = F.greatest(F.lit(0.05), F.lit(rates[-1]) * F.pow(F.lit(0.8), rank - len(rates)))
+    return F.when(rank == 1, F.lit(1.0)).when(rank <= len(rates), known).otherwise(rest)
+
+
 def simulated_citations(e: DataFrame, rates: list[float], seed: str = "cite", rank: str = "rd") -> DataFrame:
-    """Paragraphs that a model would cite if it cited rank r with a fixed rate (from r5 on falling by a fifth, 0.05 at least); hash-seeded."""
-    r = F.col(rank)
-    rate = F.when(r <= len(rates), F.element_at(F.array(*(F.lit(x) for x in rates)), F.least(r, F.lit(len(rates))).cast("int"))).otherwise(F.greatest(F.lit(0.05), F.lit(rates[-1]) * F.pow(F.lit(0.8), r - len(rates))))
+    """Paragraphs that a model would cite if it always cited rank 1 and the others with a fixed rate; hash-seeded."""
     u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "doc_id", "pos")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    return e.withColumn("cited", (u < rate).cast("long"))
+    return e.withColumn("cited", (u < citation_rate(F.col(rank), rates)).cast("long"))
+
+
+def number_cited(chances: Column) -> Column:
+    """The distribution of how many of independent unequal draws succeed: chance of 0, 1, 2 and so on."""
+    spread = lambda d, p: F.zip_with(F.concat(d, F.array(F.lit(0.0))), F.concat(F.array(F.lit(0.0)), d), lambda miss, hit: miss * (1 - p) + hit * p)
+    return F.aggregate(chances, F.array(F.lit(1.0)), spread)
+
+
+def expected_iou(e: DataFrame, rates: list[float], most: int, rank: str = "rd") -> DataFrame:
+    """doc_id, expected_k and expected_iou of that model over the first ``most`` ranks, exact instead of drawn.
+
+    With h of the gold ones cited and m of the others, IoU is h / (n_gold + m); h and m are sums of independent draws.
+    """
+    rows = e.where(F.col(rank) <= most).withColumn("_p", citation_rate(F.col(rank), rates))
+    chances = lambda gold: F.transform(F.array_sort(F.collect_list(F.when(F.col("is_gold") == gold, F.struct(rank, "_p")))), lambda x: x["_p"])
+    per = rows.groupBy("doc_id", "n_gold").agg(chances(1).alias("_g"), chances(0).alias("_o"), F.round(F.sum("_p"), 9).alias("expected_k"))
+    per = per.select("doc_id", "n_gold", "expected_k", number_cited(F.col("_g")).alias("_h"), number_cited(F.col("_o")).alias("_m"))
+    inner = lambda h, ph: F.aggregate(F.transform("_m", lambda pm, m: F.coalesce(F.try_divide(ph * pm * h, (F.col("n_gold") + m).cast("double")), F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
+    iou = F.aggregate(F.transform("_h", lambda ph, h: inner(h, ph)), F.lit(0.0), lambda s, x: s + x)
+    return per.select("doc_id", "expected_k", iou.alias("expected_iou"))
 
 
 def average_k(e: DataFrame, mean: float, seed: str = "avg", rank: str = "rd") -> DataFrame:

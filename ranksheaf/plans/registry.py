@@ -307,7 +307,7 @@ RATES = [0.8, 0.3, 0.2, 0.15, 0.1]
         EVIDENCE
         + f""", c AS (
   SELECT doc_id, n_gold, is_gold, {HEX.format("'cite:' || doc_id || ':' || pos", 1, 8)} / 4294967296.0
-         < CASE WHEN rd <= 5 THEN {RATES}[rd] ELSE greatest(0.05, 0.1 * pow(0.8, rd - 5)) END AS cited FROM evidence),
+         < CASE WHEN rd = 1 THEN 1 WHEN rd <= 5 THEN {RATES}[rd] ELSE greatest(0.05, 0.1 * pow(0.8, rd - 5)) END AS cited FROM evidence),
 per AS (SELECT doc_id, n_gold, count(*) FILTER (cited) AS k, count(*) FILTER (cited AND is_gold = 1) AS found FROM c GROUP BY doc_id, n_gold)""",
         "SELECT count(*) AS n, round(avg(k), 6) AS mean_k, round(avg(found / CAST(k + n_gold - found AS DOUBLE)), 6) AS iou FROM per",
     )

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -391,21 +388,6 @@ def confusion(spark, sf_dir):
     return k.select("tp", "fp", "fn", "tn", *analysis.rates(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
-@query()
-def logreg_cv(spark, sf_dir):
-    """Out-of-fold chances of a ridge-regularised logistic regression on scaled features, three folds by hash."""
-    rows = _labelled(spark, sf_dir).withColumn("log_chars", F.log1p("n_chars")).withColumn("fold", inference.folds(F.col("doc_id"), 3)).withColumn("label", F.col("y").cast("double"))
-    rows = VectorAssembler(inputCols=["s", "log_chars"], outputCol="raw").transform(rows).cache()
-    out = None
-    for fold in range(3):
-        train, held = rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold)
-        scale = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(train)
-        model = LogisticRegression(regParam=0.01, elasticNetParam=0.0).fit(scale.transform(train))
-        part = model.transform(scale.transform(held)).select("doc_id", "y", "fold", vector_to_array("probability")[1].alias("chance"))
-        out = part if out is None else out.unionByName(part)
-    return out.select("doc_id", "y", "fold", F.round("chance", 4).alias("chance"))
-
-
 @query("SELECT doc_id, lang FROM documents ORDER BY md5('42:' || doc_id), doc_id LIMIT 100")
 def seeded_sample(spark, sf_dir):
     return inference.seeded_sample(read(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", 100, "42")

@@ -6,7 +6,7 @@ import pytest
 
 from conftest import ROOT, SMALL
 from oracle import assert_same
-from ranksheaf.plans import additions, extras, registry, studies  # noqa: F401
+from ranksheaf.plans import additions, extras, mechanisms, registry, studies  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
