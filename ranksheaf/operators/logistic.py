@@ -4,7 +4,8 @@ The loss is the mean logistic loss plus l2 / 2 times the squared weights of the
 penalised. Features are scaled by mean and population deviation of the rows that train. A step is one pass: each task
 adds up, for every fold, loss, gradient and Hessian of its rows that train it, as vectors of a fixed size, and only
 their sums come to the driver, where systems as wide as the features are solved. A step that raises the loss is halved.
-The optimum is unique, so the result is that of any solver run to its end.
+The optimum is unique, so the result is that of any solver run to its end. Training rows of a single class have none:
+their bias is LEAST or -LEAST and their weights are 0.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-L2, STEPS, CLOSE, TINY = 0.01, 60, 1e-10, 1e-9
+L2, STEPS, CLOSE, TINY, LEAST = 0.01, 60, 1e-10, 1e-9, 50.0
 
 
 class Model:
@@ -87,14 +88,20 @@ def fitted(rows: DataFrame, folds: int = 1, l2: float = L2) -> list[Model]:
 
     rows: features (doubles, of one length), label (0 or 1), fold (0 to folds - 1); read once a step, so best stored.
     """
+    rows = rows if folds > 1 else rows.withColumn("fold", F.lit(0))
     moments = training_moments(rows, folds)
     d = len(moments[0][1]) + 1
-    weights, step, state = np.zeros((folds, d)), np.ones(folds), None
+    weights, step = np.zeros((folds, d)), np.ones(folds)
+    classes = {r.fold: (r.least, r.most) for r in rows.groupBy("fold").agg(F.min("label").alias("least"), F.max("label").alias("most")).collect()}
+    trains = [[c for j, c in classes.items() if folds == 1 or j != k] for k in range(folds)]
+    single = [None if len(x := {v for c in t for v in c}) > 1 else (-LEAST if x in (set(), {0}) else LEAST) for t in trains]
+    weights[:, -1] = [b or 0.0 for b in single]
     last, direction = np.full(folds, np.inf), np.zeros((folds, d))
     for _ in range(STEPS):
-        state = one_step(rows, moments, weights, l2)
         done = True
-        for k, (loss, gradient, hessian) in enumerate(state):
+        for k, (loss, gradient, hessian) in enumerate(one_step(rows, moments, weights, l2)):
+            if single[k] is not None:
+                continue
             if loss > last[k] + 1e-15 * abs(last[k]):  # too far: half the way back
                 step[k] /= 2
                 weights[k] += step[k] * direction[k]
