@@ -1,8 +1,9 @@
 """Questions against the paragraphs of their own document: BM25, dense and late-interaction scores, gold marks, ranks.
 
-One shuffle, of documents by doc_id, which what follows by question reuses. From there on a document is one row:
-its paragraphs, their words, the counts behind the scores and the ranks are arrays of that row. A document is the
-largest group there is. Steps are kept apart by ``stage``, so that no array is computed twice.
+A document is one row (doc_id is unique): its paragraphs, their words, the counts behind the scores and the ranks are
+arrays of that row, so texts are never shuffled. What follows by question shuffles narrow rows of ids, ranks and scores.
+Only a table of at most SPREAD_BYTES is dealt out by doc_id first, so that its few row groups reach all cores. A
+document is the largest group there is. Steps are kept apart by ``stage``, so that no array is computed twice.
 """
 
 from __future__ import annotations
@@ -18,6 +19,14 @@ from .vectors import hashed_token_vectors, max_sim_buckets
 #: Okapi BM25's constants, and the number of buckets of the hashed vectors.
 K1, B, EPSILON, DIMENSIONS = 1.5, 0.75, 0.25, 64
 Tokenizer = Callable[[Column], Column]
+#: A table up to this size, as the optimizer estimates it, may be read by fewer tasks than there are cores.
+SPREAD_BYTES = 256 << 20
+
+
+def spread(docs: DataFrame) -> DataFrame:
+    """Small tables dealt out by doc_id, which what follows by question then reuses; larger ones as they are read."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return docs.repartition("doc_id") if size <= SPREAD_BYTES else docs
 
 
 def stage(df: DataFrame, keep: list[str], **made: Column) -> DataFrame:
@@ -89,7 +98,7 @@ def scored(docs: DataFrame, tokenize: Tokenizer = words, late: bool = False) ->
     idf = lambda df: F.log(n - df + 0.5) - F.log(df + 0.5)
     within = lambda t: total(F.col("ts"), lambda p: F.array_contains(p, t), "long")
     d = stage(
-        questioned(docs.select("doc_id", "text").repartition("doc_id"), tokenize), [*keep, "phrase"], avgdl=total(F.col("ts"), F.size, "long") / n, qb=F.transform(q, bucket), idf0=F.transform(q, lambda t: idf(within(t))), qv=hashed_token_vectors(q)
+        questioned(spread(docs.select("doc_id", "text")), tokenize), [*keep, "phrase"], avgdl=total(F.col("ts"), F.size, "long") / n, qb=F.transform(q, bucket), idf0=F.transform(q, lambda t: idf(within(t))), qv=hashed_token_vectors(q)
     )
     # the mean over all words of the document is asked for only where a word of the question stands in most paragraphs
     mean = let(run_lengths(F.flatten(F.transform("ts", F.array_distinct))), lambda c: total(c, idf) / F.size(c))

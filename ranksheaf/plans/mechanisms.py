@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import rouge, text
+from ..functions import rouge, segment, text
 from ..operators import analysis, inference, logistic, pairs, pools
+from ..operators import evidence as ev
 from ..sources.scratch import stored
 from .oracle import ARRAYS, EVIDENCE, HEX, STRIP, WORDS, over
 from .registry import LCS, RATES, _evidence, query, read
@@ -195,3 +196,33 @@ d AS (SELECT doc_id, n_gold, k, {SPREAD.format(ps='g')} AS h, {SPREAD.format(ps=
 def citation_expected_iou(spark, sf_dir):
     """What the citation model's IoU is on average over all its draws, over the first ten ranks."""
     return pools.expected_iou(_evidence(spark, sf_dir), RATES, 10).select("doc_id", F.round("expected_k", 6).alias("expected_k"), F.round("expected_iou", 6).alias("expected_iou"))
+
+
+# -- words that are written together
+
+#: A word is in the dictionary if it stands in at least three documents and in one of so many: the dictionary then holds
+#: at most this many times the words of an average document, however large the table is.
+ONE_IN = 1000
+
+
+def counted_dictionary(docs: DataFrame) -> DataFrame:
+    """The words that enough documents hold."""
+    words = docs.select(F.explode(F.array_distinct(text.words(F.col("text")))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return words.where(F.col("n") >= max(3, docs.count() // ONE_IN)).select("word")
+
+
+@query()
+def dictionary_segmentation(spark, sf_dir):
+    """Documents without the blanks between their words, cut into words again by a dictionary counted from the table; how many word ends are found."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    tokenize = segment.segmented(segment.dictionary(counted_dictionary(docs)), whole=None)
+    rows = ev.stage(docs, ["doc_id"], w=text.words(F.col("text")))
+    rows = rows.select("doc_id", "w", tokenize(F.array_join("w", "")).alias("t"))
+    return rows.select("doc_id", F.size("w").cast("long").alias("n_words"), F.size("t").cast("long").alias("n_tokens"), F.size(F.array_intersect(ends("w"), ends("t"))).cast("long").alias("n_ends_found"), F.md5(F.array_join("t", " ")).alias("tokens_md5"))
+
+
+def ends(tokens: str):
+    """Where each token ends in the text without blanks."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends"))
+    step = lambda s, t: F.struct((s["at"] + F.length(t)).alias("at"), F.array_append(s["ends"], s["at"] + F.length(t)).alias("ends"))
+    return F.aggregate(tokens, start, step, lambda s: s["ends"])

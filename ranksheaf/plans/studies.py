@@ -346,9 +346,10 @@ LABELLED = f"x AS (SELECT l.doc_id, 1 - l.quality AS y, d.lang, {FEATURE} AS s F
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, y (1: low quality), lang, s (share of symbols)."""
-    d = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id")
     s = F.length(F.regexp_replace("text", "[^%&$#*!|]", "")).cast("double") / F.greatest(F.length("text"), F.lit(1))
-    return d.select("doc_id", (1 - F.col("quality")).cast("long").alias("y"), "lang", s.alias("s"), "n_chars")
+    # measured where the text is read: the join moves numbers only
+    d = read(spark, sf_dir, "documents").select("doc_id", "lang", s.alias("s"), "n_chars").join(read(spark, sf_dir, "labels"), "doc_id")
+    return d.select("doc_id", (1 - F.col("quality")).cast("long").alias("y"), "lang", "s", "n_chars")
 
 
 @query(

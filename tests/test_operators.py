@@ -193,6 +193,15 @@ def test_scores_need_one_shuffle_of_documents(spark):
     assert plan.count("Exchange") == 1 and "ReadSchema: struct<doc_id:bigint,text:string>" in plan
 
 
+def test_large_tables_of_texts_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(evidence, "SPREAD_BYTES", 0)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    d = spark.read.parquet(f"{SMALL}/documents.parquet")
+    assert "Exchange" not in plan(evidence.evidence(d))
+    fused = plan(evidence.methods(evidence.evidence(d)))
+    assert fused.count("Exchange") == 1 and not re.search(r"Exchange[^\n]*\n[^\n]*text#", fused)
+
+
 @pytest.mark.parametrize("share", [0.0, 0.5, 0.9, 1.0])
 def test_index_percentile_counts_values_before_it_sorts(spark, share):
     groups = {"a": [3, 1, 1, 1, None, 2, 2, 9], "b": [5], "c": [None], None: [4, 4, 7]}
