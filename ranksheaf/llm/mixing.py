@@ -76,7 +76,12 @@ def _joined(left: DataFrame, right: DataFrame, key: list[str], rows: int, total:
 
 def mix(docs: DataFrame, cap: int = CAP, seed: str = SEED, tied: bool = True) -> DataFrame:
     """One row per input row: doc_id, size, source_size, target, taken, copies. If not tied, every draw is on its own."""
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    return _mixed(docs, cap, seed, tied).drop("_null", "source", "_t")
+
+
+def _mixed(docs: DataFrame, cap: int, seed: str, tied: bool = True) -> DataFrame:
+    """mix() with what else names a row: its source (as _null and source) and its text's hash, _t."""
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("_t"))
     sized = durable(sized.withColumn("_null", F.col("source").isNull()).withColumn("source", F.coalesce("source", F.lit(""))))
     sums = sized.groupBy("_null", "source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     goals = durable(targets(sums, cap))
@@ -96,7 +101,7 @@ def mix(docs: DataFrame, cap: int = CAP, seed: str = SEED, tied: bool = True) ->
     within = strata.withColumn("_within", first("n", Window.partitionBy(*stratum[:3]).orderBy("_block"))).withColumnRenamed("n", "_n")
     within = _joined(within, classes.select(*stratum[:3], "_base", F.col("_strata").alias("n")), stratum[:3], classes.count(), strata.count())
     strata = durable(within.select(*stratum, F.col("_n").alias("n"), (F.col("_base") + F.col("_within")).alias("_first")))
-    ranked = place.withColumn("_rank", F.row_number().over(Window.partitionBy(*stratum).orderBy(F.desc("size"), "_hash", "doc_id")) - 1)
+    ranked = place.withColumn("_rank", F.row_number().over(Window.partitionBy(*stratum).orderBy(F.desc("size"), "_hash", "doc_id", "_t")) - 1)
     both = _joined(_joined(ranked, strata, stratum, strata.count(), total), goals, ["_null", "source"], sources, total)
     both = both.withColumn("_rate", _rate()).withColumn("_u", uniform(F.concat(F.lit("source:"), "source"), seed)).withColumn("_at", F.col("_first") + F.col("_rank"))
     part = F.col("_rate") - F.floor("_rate")
@@ -110,20 +115,26 @@ def _rate():
 
 def _copies(rated: DataFrame, extra) -> DataFrame:
     return rated.withColumn("copies", F.floor("_rate") + extra.cast("long")).select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies"
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "_null", "source", "_t"
     )
 
 
-def mixed_documents(docs: DataFrame, cap: int = CAP, seed: str = SEED) -> DataFrame:
-    """docs with every row as often as the mix takes it."""
-    taken = durable(mix(docs, cap, seed).groupBy(F.col("doc_id").alias("_id")).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")))
-    both = docs.join(checked_broadcast(taken.where("_copies > 0"), taken.count()), F.col("doc_id").eqNullSafe(F.col("_id")))
-    once = both.where("_rows = 1")
-    # an id in several rows: its copies are dealt out among them
-    again = both.where("_rows > 1").withColumn("_nth", F.row_number().over(Window.partitionBy("_id").orderBy("_rows")))
+def mixed_documents(docs: DataFrame, cap: int = CAP, seed: str = SEED, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """docs with every row as often as the mix takes it; the same rows in every run.
+
+    A row is named by its doc_id, source and text together, so rows that share an id, or have none, are told apart and
+    spread. Rows alike in all three share their copies evenly, what is over going by a hash of all their columns.
+    """
+    name = ["doc_id", "_null", "source", "_t"]
+    taken = _mixed(docs, cap, seed).groupBy(*name).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")).where(F.col("_copies") > 0)
+    taken = durable(taken.select(*(F.col(c).alias(f"_r{i}") for i, c in enumerate(name)), "_copies", "_rows"))
+    own = [F.col("doc_id"), F.col("source").isNull(), F.coalesce("source", F.lit("")), F.xxhash64("text")]
+    both = docs.join(checked_broadcast(taken, taken.count(), broadcast_rows), [c.eqNullSafe(F.col(f"_r{i}")) for i, c in enumerate(own)])
+    # rows alike: their copies are dealt out among them
+    again = both.where("_rows > 1").withColumn("_nth", F.row_number().over(Window.partitionBy(*(f"_r{i}" for i in range(4))).orderBy(F.xxhash64(*docs.columns))))
     share = F.floor(F.col("_copies") / F.col("_rows")) + (F.col("_nth") <= F.col("_copies") % F.col("_rows")).cast("long")
-    repeated = lambda df, n: df.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), n.cast("int")))).select(*docs.columns)
-    return repeated(once, F.col("_copies")).unionByName(repeated(again, share))
+    repeated = lambda df, n: df.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), n.cast("int")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return repeated(both.where("_rows = 1"), F.col("_copies")).unionByName(repeated(again, share))
 
 
 SQL = """

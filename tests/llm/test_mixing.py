@@ -1,9 +1,10 @@
 import hashlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from conftest import SMALL
 from helpers import WORD, no_documents, odd_documents
@@ -86,3 +87,21 @@ def test_documents_repeat_as_taken(spark):
     mixed = mixing.mixed_documents(docs)
     assert mixed.columns == docs.columns and mixed.count() == want
     assert mixing.mixed_documents(no_documents(spark)).count() == 0
+
+
+@pytest.mark.parametrize("broadcast_rows", [0, 10**6])
+def test_mixed_rows_are_the_same_in_every_run(spark, broadcast_rows):
+    """Rows of one id, or of none, with different texts: each is taken as often as its own draw says, whatever the order."""
+    rows = [(i // 3 if i % 4 else None, f"text {i} " + "word " * (i % 17), f"s{i % 5}" if i % 7 else None) for i in range(300)]
+    rows += [(1, "alike in all", "s1")] * 5 + [(None, None, None)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    runs = [Counter(map(tuple, mixing.mixed_documents(d, broadcast_rows=broadcast_rows).collect())) for d in (df.repartition(3), df.orderBy(F.rand(1)), df.repartition(11, "text"))]
+    assert runs[0] == runs[1] == runs[2]
+    taken = Counter()
+    for r in mixing._mixed(df, mixing.CAP, mixing.SEED).collect():
+        taken[r.doc_id, r._t] += r.copies
+    hashes = {(r.doc_id, r.text): r.h for r in df.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()}
+    got = Counter()
+    for (d, t, _), n in runs[0].items():
+        got[d, hashes[d, t]] += n
+    assert +got == +taken
