@@ -10,8 +10,8 @@ nothing below a left-out node is main text again: an ancestor's and a descendant
 Training rows come from a sample of at most SAMPLE of the pages that lend rows, by hash of the page's id. Their labels follow from
 the elements whose meaning the standard fixes (article and main against nav, footer, aside, form and the like)
 and from what was done to the page: each sampled page is also used in VARIANTS forms in which article and menu
-become plain or named div elements and boilerplate blocks under other names stand inside the article, so that
-the trees must weigh density, names and ancestors against each other. A page without such elements lends no rows.
+become plain or named div elements, boilerplate blocks under other names stand inside the article, and main text has
+names that sound like boilerplate, so that the trees must weigh density, names and ancestors against each other. A page without such elements lends no rows.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are trimmed, empty
 ones go, and the rest is joined in page order by an empty line. Scripts, styles, comments, the head, titles, text
@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .common import durable
 
-SAMPLE, VARIANTS = 400, 4
+SAMPLE, VARIANTS = 400, 6
 #: Elements and names of attributes by what they mean.
 BLOCKS = frozenset("""address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3
     h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul button label""".split())
@@ -58,21 +58,45 @@ BAD_NAMES = frozenset("""ad ads advert adverts advertisement advertising banner
     topbar toolbar comment comments reply replies respond disqus discussion related recommended share sharing social follow subscribe newsletter signup
     login search form tags pagination pager skip copyright legal disclaimer complementary contentinfo""".split())
 GOOD_NAMES = frozenset("article content main post entry story body text maincontent".split())
+#: First parts of class names that only say what a text is filed under, last parts that say what state it is in.
+FILED_UNDER = frozenset("category tag post page author format type status term has is with no id lang archive".split())
+STATES = frozenset("open closed enabled disabled allowed on off hidden visible active inactive count".split())
+#: Elements that hold text rather than other blocks: of their names only whole ones count.
+TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr pre blockquote figure figcaption caption hr address".split())
 NAMES = ["is_good_tag", "is_bad_tag", "good_name", "bad_name", "under_good", "under_bad", "bad_below_good", "text", "text_below", "links", "tags_per_byte", "depth", "siblings", "place", "same_tag", "paragraphs_near", "stops", "heading", "item"]
 _tag = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>""")
 _loose = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
-_named = re.compile(r"""\b(?:id|class|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+_named = re.compile(r"""\b(id|class|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _gold = re.compile(r'\bdata-gold="([01])"')
 _word = re.compile(r"[a-z0-9]+")
 
 
+def named_parts(tag: str, kind: str, value: str) -> list[str]:
+    """What an attribute's names say about an element: each name as a whole and, of compound ones, the parts that name a place.
+
+    ``category-social`` files a text under social matters and ``comments-open`` is a state: neither is a social bar or
+    a list of comments. An id often repeats a heading, so only its last part counts, and of the names of a paragraph or
+    another element of text none but whole ones.
+    """
+    found = []
+    for name in value.strip("\"'").lower().split():
+        parts = _word.findall(name)
+        if len(parts) < 2:
+            found += parts
+        elif tag in TEXT_TAGS or parts[0] in FILED_UNDER or parts[-1] in STATES:
+            found.append("-".join(parts))
+        else:
+            found += parts[-1:] if kind == "id" else parts
+    return found
+
+
 class Node:
     __slots__ = ("at", "below", "depth", "gold", "kids", "links", "names", "parent", "parts", "tag", "tags", "text")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str = "") -> None:
         self.tag, self.parent, self.kids, self.parts = tag, parent, [], []
         self.depth = parent.depth + 1 if parent else 0
-        self.names = frozenset(w for v in _named.findall(attributes) for w in _word.findall(v.lower())) if attributes else frozenset()
+        self.names = frozenset(w for kind, value in _named.findall(attributes) for w in named_parts(tag, kind.lower(), value)) if attributes else frozenset()
         self.gold = m[1] if "data-gold" in attributes and (m := _gold.search(attributes)) else None
         self.text = self.below = self.links = self.tags = self.at = 0
 
@@ -202,6 +226,18 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str]]]:
     return nodes, blocks
 
 
+def is_bad(n: Node) -> bool:
+    """By its element or names no main text; an outermost article or main element is never so by its names."""
+    if n.tag in BAD_TAGS:
+        return True
+    if n.names.isdisjoint(BAD_NAMES):
+        return False
+    up = n.parent
+    while n.tag in GOOD_TAGS and up is not None and up.tag not in GOOD_TAGS:
+        up = up.parent
+    return n.tag not in GOOD_TAGS or up is not None
+
+
 def node_features(nodes: list[Node], blocks: list[tuple[Node, str]]) -> list[list[float]]:
     for i, n in enumerate(nodes):
         n.at, n.below = i, n.text
@@ -220,13 +256,13 @@ def node_features(nodes: list[Node], blocks: list[tuple[Node, str]]) -> list[lis
     rows = []
     for i, n in enumerate(nodes):
         p = n.parent
-        own_good, own_bad = n.tag in GOOD_TAGS or not n.names.isdisjoint(GOOD_NAMES), n.tag in BAD_TAGS or not n.names.isdisjoint(BAD_NAMES)
+        own_good, own_bad = n.tag in GOOD_TAGS or not n.names.isdisjoint(GOOD_NAMES), is_bad(n)
         good[i] = int(own_good or (p is not None and good[p.at]))
         bad[i] = int(own_bad or (p is not None and bad[p.at]))
         after[i] = int((own_bad and good[i]) or (p is not None and after[p.at]))
         kids, same, near = (len(p.kids), tags_of[p.at][n.tag], paragraphs[p.at]) if p else (1, 1, 0)
         rows.append([
-            float(n.tag in GOOD_TAGS), float(n.tag in BAD_TAGS), float(not n.names.isdisjoint(GOOD_NAMES)), float(not n.names.isdisjoint(BAD_NAMES)),
+            float(n.tag in GOOD_TAGS), float(n.tag in BAD_TAGS), float(not n.names.isdisjoint(GOOD_NAMES)), float(own_bad and n.tag not in BAD_TAGS),
             float(good[i]), float(bad[i]), float(after[i]), math.log1p(n.text), math.log1p(n.below), min(links[i] / max(n.below, 1), 1.0), tags[i] / max(n.below, 1),
             float(min(n.depth, 12)), math.log1p(kids), i / len(nodes), same / kids, math.log1p(near), stops[i] / max(n.text, 1),
             float(n.tag[0] == "h" and n.tag[1:].isdigit()), float(n.tag in ("li", "option", "td")),
@@ -241,7 +277,7 @@ def gold(nodes: list[Node]) -> list[int | None]:
         up = out[n.parent.at] if n.parent else None
         if n.gold:
             out.append(int(n.gold))
-        elif up == 0 or n.tag in BAD_TAGS or not n.names.isdisjoint(BAD_NAMES):
+        elif up == 0 or is_bad(n):
             out.append(0)
         elif n.tag in GOOD_TAGS:
             out.append(1)
@@ -272,9 +308,15 @@ def variants(html: str, seed: int) -> list[str]:
             cut = cuts[pick.integers(len(cuts))]
             inner = inner[:cut] + block + inner[cut:]
         name = good_names[pick.integers(len(good_names))]
-        opened = (f'<article data-gold="1">{inner}</article>', f'<div class="{name}" data-gold="1">{inner}</div>', f'<div data-gold="1">{inner}</div>', f'<section id="{name}" data-gold="1">{inner}</section>')[k % 4]
+        if k % 3 == 2:  # names that sound like boilerplate and mean none
+            sound = [bad_names[pick.integers(len(bad_names))] for _ in range(3)]
+            name = f"{name} category-{sound[0]} tag-{sound[1]} comments-open"
+            inner = inner.replace("<p>", f'<p id="{sound[2]}-law" data-gold="1">', 1)
+        opened = (f'<article class="{name}" data-gold="1">{inner}</article>', f'<div class="{name}" data-gold="1">{inner}</div>', f'<div data-gold="1">{inner}</div>', f'<section id="{name}" data-gold="1">{inner}</section>')[k % 4]
         page = html[: main.start()] + opened + html[main.end() :]
-        if k % 2:
+        if k >= 4:  # a layout without any name
+            page = re.sub(r"(?i)<(/?)(nav|footer|aside|header)\b[^>]*", lambda m: '<div data-gold="0"' if not m[1] else "</div", page)
+        elif k % 2:
             page = re.sub(r"(?i)<(/?)(nav|footer|aside)\b", lambda m: f'<{m[1]}div class="{m[2].lower()}"' if not m[1] else "</div", page)
         out.append(page)
     return out

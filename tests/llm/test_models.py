@@ -210,6 +210,30 @@ def test_other_layouts(trees, html):
     assert text_of(html.format(LINES), trees) == f"Title\n\n{LINES}\n\n{LINES}"
 
 
+TEXT = "A long sentence of the article, with some commas, that goes on for a while and then ends."
+
+
+@pytest.mark.parametrize("name", ["post", "hentry", "post category-social", "post tag-share", "post comments-open", "post type-post status-publish format-standard has-post-thumbnail category-legal tag-newsletter"])
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_class_names_that_only_sound_like_boilerplate(trees, name, tag):
+    html = f'<html><body><nav><a href="/">Home</a> <a href="/b">B</a></nav><{tag} class="{name}"><h1>Title</h1><p>{TEXT} 1</p><p id="copyright-law">{TEXT} 2</p><p>{TEXT} 3</p></{tag}><footer><p>Copyright 2020</p></footer></body></html>'
+    nodes, blocks = html_extract.parse(html)
+    text = html_extract.main_text(nodes, blocks, trees.chance(np.array(html_extract.node_features(nodes, blocks))))
+    assert text == "\n\n".join(["Title", *(f"{TEXT} {i}" for i in (1, 2, 3))])
+
+
+def test_a_layout_without_names(trees):
+    html = f'<body><div><a href="/">Home</a> <a href="/b">B</a> <a href="/c">Contact us</a></div><div><h1>Title</h1><p>{TEXT} 1</p><p>{TEXT} 2</p><p>{TEXT} 3</p></div><div>Copyright 2020</div></body>'
+    nodes, blocks = html_extract.parse(html)
+    text = html_extract.main_text(nodes, blocks, trees.chance(np.array(html_extract.node_features(nodes, blocks))))
+    assert [f"{TEXT} {i}" in text for i in (1, 2, 3)] == [True] * 3 and "Contact us" not in text
+
+
+@pytest.mark.parametrize("html,names", [('<div class="site-footer">', {"site", "footer"}), ('<section id="related-work">', {"work"}), ('<div id="cookie-notice">', {"notice"}), ('<h2 id="share-prices">', {"share-prices"}), ('<li class="comment">', {"comment"}), ("<div class='category-social comments-closed'>", {"category-social", "comments-closed"})])
+def test_names_of_elements(html, names):
+    assert html_extract.parse(html + "x")[0][1].names == names
+
+
 @pytest.mark.parametrize(
     "html,blocks",
     [
