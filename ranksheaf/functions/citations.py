@@ -11,6 +11,7 @@ from .text import fold_digits, strip
 TAG = r"\[อ้างอิง[:\s]+([0-9,\s]+)\]"
 ANY_TAG = r"\s*\[อ้างอิง[^\]]*\]"
 THINK = r"(?s)<think>.*?</think>"
+CHANNEL, OPEN_CHANNEL, SPECIAL = r"(?s)<\|channel>.*?<channel\|>", r"(?s)<\|channel>.*$", r"<\|?[a-zA-Z_]+\|?>"
 ANSWER_LINE = r"คำตอบ\s*[:：]\s*([^\n]*)"
 SOURCE_LINE = r"ย่อหน้าที่ใช้\s*[:：]\s*([^\n]*)"
 
@@ -58,6 +59,13 @@ def without_thoughts(answer: Column) -> Column:
     return strip(F.regexp_replace(closed, r"(?s)^.*</think>", ""))
 
 
+def without_channels(answer: Column) -> Column:
+    """Thoughts between channel marks go, an unclosed channel with all that follows, and special tokens left over."""
+    for pattern in (CHANNEL, OPEN_CHANNEL, SPECIAL):
+        answer = F.regexp_replace(answer, pattern, "")
+    return strip(answer)
+
+
 def two_lines(answer: Column, n: Column) -> tuple[Column, Column]:
     """(text of the answer line, indices of the source line); an absent line is empty."""
     return strip(F.regexp_extract(answer, ANSWER_LINE, 1)), F.array_distinct(_indices(_numbers(fold_digits(F.regexp_extract(answer, SOURCE_LINE, 1))), n))

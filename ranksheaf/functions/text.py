@@ -100,6 +100,22 @@ def has_digit(text: Column) -> Column:
     return text.rlike(r"\p{Nd}")
 
 
+#: Words that tell what kind of answer a question asks for.
+KEYWORDS = {
+    "list": ["ประกอบด้วย", "มีอะไรบ้าง", "ได้แก่"],
+    "summary": ["สรุป", "สาระสำคัญ", "ประเด็น"],
+    "who": ["ใคร", "ผู้ใด"],
+    "what": ["อะไร"],
+    "how": ["อย่างไร"],
+}
+
+
+def keyword_flags(text: Column, keywords: dict[str, list[str]] | None = None) -> Column:
+    """A struct of booleans, one a name: whether any of its words occurs."""
+    found = lambda words: F.exists(F.array(*(F.lit(w) for w in words)), lambda w: F.contains(text, w))
+    return F.struct(*(F.coalesce(found(words), F.lit(False)).alias(f"has_{name}") for name, words in (keywords or KEYWORDS).items()))
+
+
 def restate_score(answer: Column, question: Column) -> Column:
     """Of the answer's first five tokens those among the question's first five, always over five."""
     head = F.slice(question, 1, 5)

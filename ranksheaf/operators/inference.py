@@ -85,7 +85,10 @@ class OverlapScorer:
 
 
 class ExtractiveGenerator:
-    """Answers with the context line that shares most words with the question, and cites it."""
+    """Answers with the context line that shares most words with the question, and cites it; of equal ones the first, or the last."""
+
+    def __init__(self, last: bool = False) -> None:
+        self.sign = 1 if last else -1
 
     def generate(self, prompts: list[str]) -> list[str]:
         out = []
@@ -93,7 +96,7 @@ class ExtractiveGenerator:
             context, _, question = prompt.rpartition("Question: ")
             lines = [x for x in context.split("\n") if x.startswith("[")]
             asked = set(question.lower().split())
-            best = max(range(len(lines)), key=lambda i: (len(asked & set(lines[i].lower().split())), -i), default=None)
+            best = max(range(len(lines)), key=lambda i: (len(asked & set(lines[i].lower().split())), self.sign * i), default=None)
             out.append("" if best is None else f"{lines[best].partition('] ')[2]} [อ้างอิง: {best + 1}]")
         return out
 
@@ -202,7 +205,9 @@ def combinations(runs: DataFrame, key: str = "query_id") -> DataFrame:
 
 
 def two_stage(prompts: DataFrame, mode: str, first: Callable[[], Generator] = ExtractiveGenerator, second: Callable[[], Generator] = ExtractiveGenerator) -> DataFrame:
-    """Stage one over the full context, stage two as the mode says: filter, hint_fixed, hint_free or independent.
+    """Stage one over the full context, stage two as the mode says: filter, independent, or with a hint.
+
+    The hint is the first stage's evidence (hint_fixed, hint_free), its answer (hint_answer) or both (hint_both).
 
     prompts: query_id, doc_id, query, para_ids, texts. Returns both stages' answers and refs (1 and 2).
     """
@@ -219,6 +224,10 @@ def two_stage(prompts: DataFrame, mode: str, first: Callable[[], Generator] = Ex
     elif mode in ("hint_fixed", "hint_free"):
         word = "Focus on: " if mode == "hint_fixed" else "Possibly relevant: "
         two = one.withColumn("prompt", context_first(numbered(F.col("texts")), F.col("query"), F.concat(F.lit(word), hint(at))))
+    elif mode in ("hint_answer", "hint_both"):
+        said = F.concat(F.lit("Preliminary answer: "), "answer1")
+        both = F.concat(F.lit("Possibly relevant: "), hint(at), F.lit("\n"), said)
+        two = one.withColumn("prompt", context_first(numbered(F.col("texts")), F.col("query"), said if mode == "hint_answer" else both))
     elif mode == "independent":
         two = one.withColumn("prompt", context_first(numbered(F.col("texts")), F.col("query")))
     else:
@@ -226,6 +235,18 @@ def two_stage(prompts: DataFrame, mode: str, first: Callable[[], Generator] = Ex
     return parsed(generated(two, second)).select("query_id", "answer1", "refs1", F.col("answer").alias("answer2"), F.col("refs").alias("refs2"))
 
 
+def stage_combinations(stages: DataFrame, key: str = "query_id") -> DataFrame:
+    """Each stage's answer with each stage's evidence: combo s1ans_s1ref, s1ans_s2ref, s2ans_s1ref, s2ans_s2ref."""
+    each = F.array(*(F.struct(F.lit(f"s{a}ans_s{r}ref").alias("combo"), F.col(f"answer{a}").alias("answer"), F.col(f"refs{r}").alias("refs")) for a in (1, 2) for r in (1, 2)))
+    return stages.select(key, F.inline(each))
+
+
+def with_texts(refs: DataFrame, paragraphs: DataFrame, keys: list[str]) -> DataFrame:
+    """refs with the text that each names; the empty text where a key names no paragraph."""
+    named = paragraphs.select(*keys, F.col("text").alias("_text"))
+    return refs.join(named, keys, "left").withColumn("text", F.coalesce("_text", F.lit(""))).drop("_text")
+
+
 def folds(ids: Column, k: int, seed: str = "fold") -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), ids)), 1, 8), 16, 10).cast("long") % k
 

@@ -33,6 +33,19 @@ def question_first(context: Column, question: Column, more: Column | None = None
     return F.concat(F.lit("Question: "), question, F.lit("\n\nContext:\n"), context, *([F.lit("\n\n"), more] if more is not None else []))
 
 
+#: What is asked when one of several candidate paragraphs is to be picked, and how much of each is shown.
+PICK = ("คำถาม: ", "ย่อหน้าผู้สมัคร {} ตัว:\n", "คำสั่ง: เลือกย่อหน้าที่ตอบคำถามได้ดีที่สุดเพียงหมายเลขเดียว ตอบเป็นหมายเลขในวงเล็บ เช่น [3] เท่านั้น ห้ามอธิบายเพิ่ม\nคำตอบ: [")
+SHOWN = 400
+
+
+def pick_prompt(question: Column, candidates: Column, shown: int = SHOWN) -> Column:
+    """Asks for the number of the best of some candidate texts, each cut to ``shown`` characters."""
+    before, after = PICK[1].split("{}")
+    many = F.concat(F.lit(before), F.size(candidates).cast("string"), F.lit(after))
+    cut = F.transform(candidates, lambda t: F.substring(t, 1, shown))
+    return F.concat(F.lit(PICK[0]), question, F.lit("\n\n"), many, numbered(cut), F.lit("\n\n" + PICK[2]))
+
+
 #: What a prompt variant is put together from.
 INSTRUCTIONS = {
     "plain": "Answer from the context.",

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import rouge, segment, text
-from ..operators import analysis, inference, logistic, pairs, pools
+from ..functions import citations, rouge, segment, text
+from ..operators import analysis, inference, logistic, pairs, pools, prompts
 from ..operators import evidence as ev
 from ..sources.scratch import stored
 from .oracle import ARRAYS, EVIDENCE, HEX, STRIP, WORDS, over
@@ -226,3 +226,57 @@ def ends(tokens: str):
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends"))
     step = lambda s, t: F.struct((s["at"] + F.length(t)).alias("at"), F.array_append(s["ends"], s["at"] + F.length(t)).alias("ends"))
     return F.aggregate(tokens, start, step, lambda s: s["ends"])
+
+
+# -- prompts, flags and texts looked up
+
+
+@query(
+    over(
+        EVIDENCE
+        + f""", c AS (SELECT e.doc_id, array_to_string(a.q, ' ') AS question, count(*) AS n, string_agg('[' || rd || '] ' || substring(a.ps[e.pos], 1, 400), chr(10) ORDER BY rd) AS shown, max(CASE WHEN rb = 1 THEN rd END) AS pick
+  FROM evidence e JOIN asked a USING (doc_id) WHERE e.rd <= 10 GROUP BY e.doc_id, a.q)""",
+        f"SELECT doc_id, n, md5('{prompts.PICK[0]}' || question || chr(10) || chr(10) || '{prompts.PICK[1].partition('{}')[0]}' || n || '{prompts.PICK[1].partition('{}')[2][:-1]}' || chr(10) || shown || chr(10) || chr(10) || replace('{prompts.PICK[2]}', chr(10), chr(10))) AS prompt_md5, CAST(pick AS INT) AS picked FROM c",
+    )
+)
+def pick_prompt(spark, sf_dir):
+    """Ten candidates by dense rank shown to a model that picks one; BM25's first choice stands in for its answer, if it is shown."""
+    d = ev.scored(read(spark, sf_dir, "documents"))
+    shown = F.slice(F.array_sort(F.transform("s", lambda x: F.struct(x["rd"].alias("rd"), x["rb"].alias("rb"), F.get("ps", x["pos"].cast("int") - 1).alias("text")))), 1, 10)
+    d = ev.stage(d, ["doc_id", "q"], c=shown)
+    first = F.get(F.filter("c", lambda x: x["rb"] == 1), F.lit(0))["rd"]
+    answer = F.concat(first.cast("string"), F.lit("] because"))
+    n = F.size("c")
+    return d.select("doc_id", n.cast("long").alias("n"), F.md5(prompts.pick_prompt(F.array_join("q", " "), F.col("c.text"))).alias("prompt_md5"), citations.picked(answer, n).alias("picked"))
+
+
+FLAGS = {"list": ["includes", "such as", ","], "summary": ["summary", "main point", "in short"], "number": ["one", "two", "three"], **{f"thai_{k}": v for k, v in text.KEYWORDS.items()}}
+
+
+@query(over(ARRAYS, "SELECT doc_id, pos, " + ", ".join(f"({' OR '.join(f"contains(text, '{w}')" for w in words)}) AS has_{name}" for name, words in FLAGS.items()) + " FROM paras"))
+def keyword_flags(spark, sf_dir):
+    """Which kinds of key words each paragraph holds."""
+    p = ev.paragraphs(read(spark, sf_dir, "documents"))
+    return p.select("doc_id", "pos", text.keyword_flags(F.col("text"), FLAGS).alias("f")).select("doc_id", "pos", "f.*")
+
+
+@query(over(ARRAYS + ", r AS (SELECT d.doc_id, unnest([1 + d.doc_id % 9, 1 + d.doc_id % 4]) AS pos FROM documents d)", "SELECT r.doc_id, r.pos, coalesce(p.text, '') AS text FROM r LEFT JOIN paras p ON r.doc_id = p.doc_id AND r.pos = p.pos"))
+def text_lookup(spark, sf_dir):
+    """The text that a reference names (here places made from the id); the empty text for one that names none."""
+    docs = read(spark, sf_dir, "documents")
+    refs = docs.select("doc_id", F.explode(F.array(1 + F.col("doc_id") % 9, 1 + F.col("doc_id") % 4)).alias("pos"))
+    return inference.with_texts(refs, ev.paragraphs(docs), ["doc_id", "pos"])
+
+
+@query(
+    over(
+        "t AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN '<|channel>thought ' || text || '<channel|>' || text WHEN 1 THEN text || '<|channel>cut off ' || role WHEN 2 THEN ' ' || text || '<eos><|think|><turn|>' ELSE text || ' a < b > c' END AS raw FROM conversations)",
+        rf"""SELECT conv_id, turn, {STRIP.format(r"regexp_replace(regexp_replace(regexp_replace(raw, '(?s)<\|channel>.*?<channel\|>', '', 'g'), '(?s)<\|channel>.*$', '', 'g'), '<\|?[a-zA-Z_]+\|?>', '', 'g')".replace(chr(92) * 2, chr(92)))} AS answer FROM t""",
+    )
+)
+def channel_strip(spark, sf_dir):
+    """Answers without thoughts between channel marks, cut-off ones included, and without special tokens."""
+    c, four = read(spark, sf_dir, "conversations"), F.col("turn") % 4
+    raw = F.when(four == 0, F.concat(F.lit("<|channel>thought "), "text", F.lit("<channel|>"), "text")).when(four == 1, F.concat("text", F.lit("<|channel>cut off "), "role"))
+    raw = raw.when(four == 2, F.concat(F.lit(" "), "text", F.lit("<eos><|think|><turn|>"))).otherwise(F.concat("text", F.lit(" a < b > c")))
+    return c.select("conv_id", "turn", citations.without_channels(raw).alias("answer"))

@@ -116,26 +116,44 @@ def stage_filter_context(spark, sf_dir):
     return prompts.kept_by_citation(e, e.where("dense >= 0.3 AND rd <= 3"), ["doc_id"]).select("doc_id", "pos")
 
 
-@query()
+STUB = EVIDENCE + r""", h AS (
+  SELECT doc_id, ps, list_transform(range(1, len(ps) + 1), lambda i: len(list_intersect(list_distinct(q), list_distinct(string_split_regex(lower('[' || i || '] ' || ps[i]), '\s+'))))) AS n FROM asked),
+first AS (SELECT doc_id, ps, n, list_position(n, list_max(n)) AS b1, len(n) + 1 - list_position(list_reverse(n), list_max(n)) AS b2 FROM h)"""
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, doc_id, query, para_ids, texts, put together within the document's row."""
+    d = ev.questioned(ev.spread(read(spark, sf_dir, "documents").select("doc_id", "text")))
+    ids = F.transform("ps", lambda p, i: F.concat(F.lit("P"), (i + 1).cast("string")))
+    return d.select(F.col("doc_id").alias("query_id"), "doc_id", F.array_join("q", " ").alias("query"), ids.alias("para_ids"), F.col("ps").alias("texts"))
+
+
+def said(place: str) -> str:
+    return STRIPPED.format(f"ps[{place}]")
+
+
+@query(over(STUB, f"SELECT doc_id, {said('b1')} AS answer, 'P' || b1 AS refs, true AS explicit FROM first"))
 def generate_stub(spark, sf_dir):
     """Prompts through the stand-in generator and the parser, document by document."""
-    docs = read(spark, sf_dir, "documents")
-    q = ev.questioned(docs).select("doc_id", F.array_join("q", " ").alias("query"))
-    c = prompts.contexts(_paragraphs(spark, sf_dir), ["doc_id"]).join(q, "doc_id").withColumn("prompt", prompts.context_first(F.col("context"), F.col("query")))
+    c = _asked(spark, sf_dir).withColumn("prompt", prompts.context_first(prompts.numbered(F.col("texts")), F.col("query")))
     out = inference.parsed(inference.generated(c.select("doc_id", "query", "para_ids", "texts", "prompt")))
     return out.select("doc_id", "answer", F.array_join("refs", ",").alias("refs"), "explicit")
 
 
-@query()
+@query(over(STUB, f"SELECT doc_id AS query_id, {said('b1')} AS answer1, 'P' || b1 AS refs1, {said('b1')} AS answer2, 'P' || b1 AS refs2 FROM first"))
 def two_stage_hint(spark, sf_dir):
     """Two stages of the stand-in generator, the second with the first's evidence as a hint."""
-    docs = read(spark, sf_dir, "documents")
-    q = ev.questioned(docs).select("doc_id", F.array_join("q", " ").alias("query"))
-    c = prompts.contexts(_paragraphs(spark, sf_dir), ["doc_id"]).join(q, "doc_id").withColumn("query_id", F.col("doc_id"))
-    out = inference.two_stage(c.select("query_id", "doc_id", "query", "para_ids", "texts"), "hint_fixed")
+    out = inference.two_stage(_asked(spark, sf_dir), "hint_fixed")
     return out.select("query_id", "answer1", F.array_join("refs1", ",").alias("refs1"), "answer2", F.array_join("refs2", ",").alias("refs2"))
 
 
+@query(over(STUB, " UNION ALL ".join(f"SELECT doc_id AS query_id, 's{a}ans_s{r}ref' AS combo, {said(f'b{a}')} AS answer, 'P' || b{r} AS refs FROM first" for a in (1, 2) for r in (1, 2))))
+def hint_grid(spark, sf_dir):
+    """Evidence and answer of the first stage as a hint for a second model, and all four pairs of their answers and evidence."""
+    out = inference.two_stage(_asked(spark, sf_dir), "hint_both", second=lambda: inference.ExtractiveGenerator(last=True))
+    return inference.stage_combinations(out).select("query_id", "combo", "answer", F.array_join("refs", ",").alias("refs"))
+
+
 @query(
     over(
         EVIDENCE

@@ -142,7 +142,7 @@ def test_sinks(spark, tmp_path):
     assert corpus.read_detail(spark, str(tmp_path / "d")).first().ss == 0.2
 
 
-@pytest.mark.parametrize("mode", ["filter", "hint_fixed", "hint_free", "independent"])
+@pytest.mark.parametrize("mode", ["filter", "hint_fixed", "hint_free", "hint_answer", "hint_both", "independent"])
 def test_two_stages(spark, mode):
     p = spark.createDataFrame([("q", "d", "red fox", ["P1", "P2"], ["sea wind", "a red fox"])], "query_id string, doc_id string, query string, para_ids array<string>, texts array<string>")
     r = inference.two_stage(p, mode).first()
