@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import citations, rouge, segment, text
 from ..operators import analysis, inference, logistic, pairs, pools, prompts
 from ..operators import evidence as ev
+from ..sources import scores, scratch
 from ..sources.scratch import stored
 from .oracle import ARRAYS, EVIDENCE, HEX, STRIP, WORDS, over
-from .registry import LCS, RATES, _evidence, query, read
+from .registry import LCS, RATES, _detail, _evidence, query, read
 from .studies import CLASSES_SQL, FORM, LABELLED, _form, _labelled
 
 # -- best pairs
@@ -280,3 +281,26 @@ def channel_strip(spark, sf_dir):
     raw = F.when(four == 0, F.concat(F.lit("<|channel>thought "), "text", F.lit("<channel|>"), "text")).when(four == 1, F.concat("text", F.lit("<|channel>cut off "), "role"))
     raw = raw.when(four == 2, F.concat(F.lit(" "), "text", F.lit("<eos><|think|><turn|>"))).otherwise(F.concat("text", F.lit(" a < b > c")))
     return c.select("conv_id", "turn", citations.without_channels(raw).alias("answer"))
+
+
+# -- score artefacts
+
+FOLDERS = {"dense": "exp01/eval_result", "bm25": "exp02/eval_result/s1ans_s2ref", "rrf": "exp02/eval_result/s2ans_s2ref"}
+
+
+@query(
+    over(
+        EVIDENCE,
+        """SELECT CASE system WHEN 'dense' THEN 'exp01' WHEN 'bm25' THEN 'exp02/s1ans_s2ref' ELSE 'exp02/s2ans_s2ref' END AS label, count(*) AS n, round(avg(rouge_l), 6) AS rouge_l, round(avg(ss), 6) AS ss, round(avg(iou), 6) AS iou,
+round(0.45 * avg(ss) + 0.35 * avg(rouge_l) + 0.2 * avg(iou), 6) AS stored, count(*) AS n_scored, 'doc_' || system AS heldout_doc FROM detail GROUP BY system""",
+    )
+)
+def score_artefacts_round_trip(spark, sf_dir):
+    """Details and held-out summaries written to a tree of experiments' folders, found again and put side by side."""
+    root, detail = scratch.folder(spark), stored(_detail(spark, sf_dir))
+    for system, folder in FOLDERS.items():
+        rows = detail.where(F.col("system") == system).select(F.col("doc_id").cast("string").alias("query_id"), "rouge_l", "ss", "iou")
+        scores.write_scores(rows, f"{root}/{folder}", f"doc_{system}")
+    means = scores.read_details(spark, root).groupBy("label").agg(F.count(F.lit(1)).alias("n"), *(F.round(F.avg(c), 6).alias(c) for c in ("rouge_l", "ss", "iou")))
+    held = scores.read_held_out(spark, root).select("label", F.round("stored", 6).alias("stored"), "n_scored", "heldout_doc")
+    return means.join(held, "label")
