@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import citations, rouge, segment, text
-from ..operators import analysis, inference, logistic, pairs, pools, prompts
+from ..operators import analysis, inference, late, logistic, pairs, pools, prompts
 from ..operators import evidence as ev
-from ..sources import scores, scratch
+from ..sources import corpus, scores, scratch, sinks
 from ..sources.scratch import stored
 from .oracle import ARRAYS, EVIDENCE, HEX, STRIP, WORDS, over
-from .registry import LCS, RATES, _detail, _evidence, query, read
+from .registry import LCS, RATES, TOKENS_AS_BUCKETS, _detail, _evidence, query, read
 from .studies import CLASSES_SQL, FORM, LABELLED, _form, _labelled
 
 # -- best pairs
@@ -304,3 +304,34 @@ def score_artefacts_round_trip(spark, sf_dir):
     means = scores.read_details(spark, root).groupBy("label").agg(F.count(F.lit(1)).alias("n"), *(F.round(F.avg(c), 6).alias(c) for c in ("rouge_l", "ss", "iou")))
     held = scores.read_held_out(spark, root).select("label", F.round("stored", 6).alias("stored"), "n_scored", "heldout_doc")
     return means.join(held, "label")
+
+
+# -- late interaction over a cache of token vectors
+
+WIDTH = 8
+NARROW = TOKENS_AS_BUCKETS.replace("% 64", f"% {WIDTH}")
+
+
+def two_places(tokens):
+    """Each token as a vector with a one in one of the first WIDTH places and in one of the last."""
+    at = lambda h, i: (F.conv(F.substring(h, i, 4), 16, 10).cast("int") % WIDTH).cast("int")
+    ones = lambda h: F.transform(F.sequence(F.lit(0), F.lit(2 * WIDTH - 1)), lambda i: ((i == at(h, 1)) | (i == at(h, 5) + WIDTH)).cast("float"))
+    return F.transform(F.transform(tokens, F.md5), ones)
+
+
+@query(
+    over(
+        EVIDENCE
+        + f""", sims AS (
+  SELECT doc_id, pos, coalesce(list_sum(list_transform({NARROW.format('q')}, lambda a: coalesce(list_max(list_transform({NARROW.format('toks')}, lambda b: CAST(a[1] = b[1] AS INT) + CAST(a[2] = b[2] AS INT))), 0))), 0) AS s FROM ptoks),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, pos) AS rank FROM sims)""",
+        "SELECT doc_id, pos, rank, CAST(s AS DOUBLE) AS score FROM r WHERE rank <= 5",
+    )
+)
+def late_interaction_cached(spark, sf_dir):
+    """Token vectors written to the cache, read back, coded and ranked by MaxSim: each question's five best paragraphs."""
+    docs, path = ev.spread(read(spark, sf_dir, "documents").select("doc_id", "text")), scratch.folder(spark)
+    sinks.write_vectors(ev.paragraphs(docs).select("doc_id", "pos", two_places(F.col("tokens")).alias("vectors")), path)
+    cache = corpus.read_vectors(spark, path, "doc_id long, pos long, vectors array<array<float>>")
+    asked = ev.questioned(docs).select(F.col("doc_id").alias("query_id"), "doc_id", two_places(F.col("q")).alias("vectors"))
+    return late.ranked(asked, cache, 5).select(F.col("query_id").alias("doc_id"), "pos", "rank", "score")
