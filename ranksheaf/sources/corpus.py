@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions.sets import as_list, parse_refs
 from ..functions.text import is_valid_paragraph
+from . import split_json
 
 PARAGRAPH = T.StructType([T.StructField("para_id", T.StringType()), T.StructField("text", T.StringType())])
 DOCUMENT = T.StructType([T.StructField("doc_id", T.StringType()), T.StructField("paragraphs", T.ArrayType(PARAGRAPH))])
@@ -35,6 +36,16 @@ def questions(corpus: DataFrame) -> DataFrame:
     return rows.select(F.col("q.ID").alias("query_id"), "query_ord", "q.doc_id", "q.query", "q.abstractive", as_list(F.col("q.refs")).alias("refs"))
 
 
+def split_corpus(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """paragraphs() and questions() of a corpus file of any size, which several tasks read."""
+    elements = split_json.read_elements(spark, path)
+    docs = elements.where("array = 'docs'").select(F.from_json("json", DOCUMENT).alias("d"))
+    rows = docs.select("d.doc_id", F.posexplode("d.paragraphs").alias("pos", "p"))
+    ps = rows.select("doc_id", "p.para_id", (F.col("pos") + 1).alias("pos"), "p.text", is_valid_paragraph(F.col("p.text")).alias("is_valid"))
+    asked = elements.where("array = 'queries'").select(F.col("ord").cast("int").alias("query_ord"), F.from_json("json", QUERY).alias("q"))
+    return ps, asked.select(F.col("q.ID").alias("query_id"), "query_ord", "q.doc_id", "q.query", "q.abstractive", as_list(F.col("q.refs")).alias("refs"))
+
+
 def read_submission(spark: SparkSession, path: str, keep_blank: bool = True) -> DataFrame:
     """query_id, answer, refs from ID, abstractive, refs; answers may hold line breaks and quotes."""
     rows = spark.read.schema("ID string, abstractive string, refs string").options(header=True, multiLine=True, escape='"').csv(path)
