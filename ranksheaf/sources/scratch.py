@@ -13,7 +13,7 @@ def folder(spark: SparkSession) -> str:
     """A new folder under the shared one; a temporary one is taken on one machine only, where none is set."""
     context = spark.sparkContext
     top = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
-    if not top and not re.fullmatch(r"local(\[.*\])?", context.master):
+    if not top and not re.match(r"local(\[.*\])?$", context.master):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return f"{top or tempfile.mkdtemp(prefix='spark-')}/files-{uuid.uuid4().hex}"
 
