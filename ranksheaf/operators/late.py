@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .neighbours import fitted
+from .neighbours import fitted, hashed_sample
 
 SAMPLE, CODES, CHUNK = 20_000, 64, 16
 SLACK = 1e-6
@@ -26,8 +26,8 @@ SLACK = 1e-6
 def centres(cache: DataFrame, codes: int = CODES, sample: int = SAMPLE) -> np.ndarray:
     """Centres of the token vectors: a row each; no rows if the cache has no vectors."""
     at = F.pmod(F.xxhash64("doc_id", "pos"), F.size("vectors")).cast("int")
-    lent = cache.where(F.size("vectors") > 0).orderBy(F.xxhash64("doc_id", "pos"), "doc_id", "pos").limit(sample).select(F.get("vectors", at).alias("v"))
-    rows = [r.v for r in lent.collect()]
+    lent = cache.where(F.size("vectors") > 0).select("doc_id", "pos", F.get("vectors", at).alias("v"))
+    rows = [r.v for r in hashed_sample(lent, ["doc_id", "pos"], sample, lent.count()).select("v").collect()]
     return fitted(np.array(rows, float), codes) if rows else np.zeros((0, 0))
 
 

@@ -39,6 +39,13 @@ def rows_of(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), float).reshape(len(column), -1)
 
 
+def hashed_sample(df: DataFrame, keys: list[str], sample: int, n: int) -> DataFrame:
+    """About ``sample`` of n rows by a hash of their keys, twice as many at most; chosen where they are read, so that no task sends more than its share."""
+    if n > sample:
+        df = df.where(F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) < int((1 << 30) * sample / n))
+    return df.limit(2 * sample)
+
+
 def fitted(sample: np.ndarray, lists: int, rounds: int = ROUNDS) -> np.ndarray:
     """Centres by Lloyd's rounds from evenly taken first centres."""
     centres = sample[np.linspace(0, len(sample) - 1, min(lists, len(sample))).astype(int)].copy()
@@ -72,7 +79,8 @@ class Index:
     def __init__(self, vectors: DataFrame, sample: int = SAMPLE, lists: int = LISTS) -> None:
         """vectors: vec_id, doc_id, v (doubles, all of one length)."""
         n = vectors.count()
-        drawn = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toPandas()["v"]
+        drawn = hashed_sample(vectors.select("vec_id", "v"), ["vec_id"], sample, n).select("v").toPandas()["v"] if n else []
+        drawn = drawn if len(drawn) or not n else vectors.select("v").limit(1).toPandas()["v"]
         centres = fitted(np.stack(drawn.to_numpy()), max(1, min(lists, round(n**0.5)))) if n else np.zeros((0, 0))
 
         def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
