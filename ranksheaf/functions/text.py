@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 #: Unicode strip, a paragraph that is more than a separator, what a word token may hold.
 STRIP = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
 SUBSTANCE = r"[^_\-=. \t\n]"
-NOT_WORD = r"[^\p{L}\p{M}\p{N}]+"
+PLAIN = r"[^_\-=.\s\p{Z}]"  # what no stripping takes away
+NOT_WORD = r"[^a-z0-9\p{L}\p{M}\p{N}]++"
 WORD_OR_SPACE = r"[\p{L}\p{M}\p{N}]+|\s+"
 #: Thai digits and their ASCII forms; the answer's label.
 THAI_DIGITS, DIGITS = "๐๑๒๓๔๕๖๗๘๙", "0123456789"
@@ -31,12 +32,12 @@ def strip(text: Column) -> Column:
 
 def is_valid_paragraph(text: Column) -> Column:
     """More than white space and separator characters."""
-    return F.coalesce(strip(text).rlike(SUBSTANCE), F.lit(False))
+    return F.coalesce(text.rlike(PLAIN) | strip(text).rlike(SUBSTANCE), F.lit(False))
 
 
 def words(text: Column) -> Column:
     """Lower-case runs of letters, their marks and digits. Any function from text to an array of tokens can stand in for it."""
-    return F.filter(F.split(F.lower(text), NOT_WORD), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(text), NOT_WORD), "")
 
 
 def words_and_spaces(text: Column) -> Column:

@@ -1,7 +1,7 @@
 """Questions against the paragraphs of their own document: BM25, dense and late-interaction scores, gold marks, ranks.
 
 A document is one row (doc_id is unique): its paragraphs, their words, the counts behind the scores and the ranks are
-arrays of that row, so texts are never shuffled. What follows by question shuffles narrow rows of ids, ranks and scores.
+arrays of that row, so texts are never shuffled. What the scores count comes from ``counts``, the formulas are here. What follows by question shuffles narrow rows of ids, ranks and scores.
 Only a table of at most SPREAD_BYTES is dealt out by doc_id first, so that its few row groups reach all cores. A
 document is the largest group there is. Steps are kept apart by ``stage``, so that no array is computed twice.
 """
@@ -14,10 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_valid_paragraph, words
-from .vectors import hashed_token_vectors, max_sim_buckets
+from .counts import counted
 
-#: Okapi BM25's constants, and the number of buckets of the hashed vectors.
-K1, B, EPSILON, DIMENSIONS = 1.5, 0.75, 0.25, 64
+#: Okapi BM25's constants.
+K1, B, EPSILON = 1.5, 0.75, 0.25
 Tokenizer = Callable[[Column], Column]
 #: A table up to this size, as the optimizer estimates it, may be read by fewer tasks than there are cores.
 SPREAD_BYTES = 256 << 20
@@ -54,16 +54,13 @@ def paragraphs(docs: DataFrame, tokenize: Tokenizer = words) -> DataFrame:
 
 def questioned(docs: DataFrame, tokenize: Tokenizer = words) -> DataFrame:
     """One question a document that has a word: every second of words 2 to 9 of one paragraph (its only word, if there is one); gold is where the phrase stands."""
-    d = stage(paragraph_arrays(docs, tokenize), ["doc_id", "n", "ps", "ts"], spoken=F.filter("ts", lambda t: F.size(t) > 0)).where(F.size("spoken") > 0)
-    d = stage(d, ["doc_id", "n", "ps", "ts"], chosen=F.get("spoken", F.pmod(F.col("doc_id"), F.size("spoken")).cast("int")))
+    spoken = F.filter(F.transform("ts", lambda t, i: F.when(F.size(t) > 0, i)), lambda i: i.isNotNull())
+    d = stage(paragraph_arrays(docs, tokenize), ["doc_id", "n", "ps", "ts"], spoken=spoken).where(F.size("spoken") > 0)
+    d = stage(d, ["doc_id", "n", "ps", "ts"], chosen=F.get("ts", F.get("spoken", F.pmod(F.col("doc_id"), F.size("spoken")).cast("int"))))
     d = stage(d, ["doc_id", "n", "ps", "ts"], span=F.when(F.size("chosen") > 1, F.slice("chosen", 2, 8)).otherwise(F.col("chosen")))
     return stage(d, ["doc_id", "n", "ps", "ts"], q=F.filter("span", lambda t, i: i % 2 == 0), phrase=F.array_join("span", " "))
 
 
-def bucket(token: Column) -> Column:
-    return (F.conv(F.substring(F.md5(token), 1, 4), 16, 10).cast("int") % DIMENSIONS).cast("int")
-
-
 def run_lengths(a: Column) -> Column:
     """How often each distinct value occurs, in the values' order."""
     ends = lambda s: F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: F.coalesce(F.get(s, i) != F.get(s, i - 1), F.lit(True)))
@@ -94,34 +91,33 @@ def total(a: Column, f: Callable[[Column], Column], kind: str = "double") -> Col
 def scored(docs: DataFrame, tokenize: Tokenizer = words, late: bool = False) -> DataFrame:
     """doc_id, n, ps, ts, q, n_gold and s: per paragraph pos, len, is_gold, bm25, dense (and late), rb, rd (and rl)."""
     keep = ["doc_id", "n", "ps", "ts", "q"]
-    n, q, qb = F.col("n"), F.col("q"), F.col("qb")
+    n, c = F.col("n"), F.col("c")
     idf = lambda df: F.log(n - df + 0.5) - F.log(df + 0.5)
-    within = lambda t: total(F.col("ts"), lambda p: F.array_contains(p, t), "long")
-    d = stage(
-        questioned(spread(docs.select("doc_id", "text")), tokenize), [*keep, "phrase"], avgdl=total(F.col("ts"), F.size, "long") / n, qb=F.transform(q, bucket), idf0=F.transform(q, lambda t: idf(within(t))), qv=hashed_token_vectors(q)
-    )
+    standing = lambda j: total(c["tf"], lambda t: (F.get(t, j) > 0).cast("long"), "long")
+    d = questioned(spread(docs.select("doc_id", "text")), tokenize)
+    d = stage(d, [*keep, "phrase"], c=counted(late)(F.col("ts"), F.col("q")))
+    d = stage(d, [*keep, "phrase", "c"], avgdl=total(F.col("ts"), F.size, "long") / n, idf0=F.transform("q", lambda t, j: idf(standing(j))))
     # the mean over all words of the document is asked for only where a word of the question stands in most paragraphs
-    mean = let(run_lengths(F.flatten(F.transform("ts", F.array_distinct))), lambda c: total(c, idf) / F.size(c))
-    d = stage(d, [*keep, "phrase", "avgdl", "qb", "qv", "idf0"], least=F.when(F.exists("idf0", lambda x: x < 0), EPSILON * mean), nq2=total(run_lengths(qb), lambda c: c * c, "long"))
-    weights = F.transform("idf0", lambda x: F.when(x < 0, F.col("least")).otherwise(x))
-    d = stage(d, [*keep, "phrase", "avgdl", "qb", "qv", "nq2"], idf=weights)
-
-    def bm25(p: Column) -> Column:
-        tf = lambda t: F.size(F.filter(p, lambda x: x == t)).cast("double")
-        weigh = lambda t, w: let(tf(t), lambda f: w * f * (K1 + 1) / (f + K1 * (1 - B + B * F.size(p) / F.col("avgdl"))))
-        return total(F.zip_with(q, F.col("idf"), weigh), lambda x: x)
-
-    def dense(p: Column) -> Column:
-        dot = lambda b: total(b, lambda x: F.size(F.filter(qb, lambda y: y == x)), "long").cast("double")
-        norm = lambda b: F.sqrt(total(run_lengths(b), lambda c: c * c, "long")) * F.sqrt("nq2")
-        return let(F.transform(p, bucket), lambda b: F.coalesce(F.try_divide(dot(b), norm(b)), F.lit(0.0)))
-
-    gold = lambda p: F.contains(F.concat(F.lit(" "), F.array_join(p, " "), F.lit(" ")), F.concat(F.lit(" "), F.col("phrase"), F.lit(" "))).cast("long")
-    more = [("late", lambda p: let(F.array_distinct(hashed_token_vectors(p)), lambda v: max_sim_buckets(F.col("qv"), v)))] if late else []
-    each = [("bm25", lambda p: rounded(bm25(p))), ("dense", lambda p: rounded(dense(p))), *more]
-    d = stage(d, keep, s=F.transform("ts", lambda p, i: F.struct((i + 1).cast("long").alias("pos"), F.size(p).cast("long").alias("len"), gold(p).alias("is_gold"), *(f(p).alias(c) for c, f in each))))
-    d = stage(d, [*keep, "s"], n_gold=total(F.col("s.is_gold"), lambda x: x, "long"), **{f"r{c[0]}": ranks(F.col(f"s.{c}")) for c, _ in each})
-    ranked = F.transform("s", lambda x, i: F.struct(*(x[c].alias(c) for c in ("pos", "len", "is_gold", *(c for c, _ in each))), *(F.get(f"r{c[0]}", i).alias(f"r{c[0]}") for c, _ in each)))
+    sums = F.aggregate(F.transform(c["standing"], lambda k, i: F.when(k > 0, k * idf(i + 1)).otherwise(0.0)), F.lit(0.0), lambda s, x: s + x)
+    mean = sums / total(c["standing"], lambda k: k, "long")
+    d = stage(d, [*keep, "phrase", "c", "avgdl", "idf0"], least=F.when(F.exists("idf0", lambda x: x < 0), EPSILON * mean))
+    d = stage(d, [*keep, "phrase", "c", "avgdl"], idf=F.transform("idf0", lambda x: F.when(x < 0, F.col("least")).otherwise(x)))
+
+    def bm25(p: Column, i: Column) -> Column:
+        weigh = lambda f, w: w * f * (K1 + 1) / (f + K1 * (1 - B + B * F.size(p) / F.col("avgdl")))
+        return total(F.zip_with(F.get(c["tf"], i), F.col("idf"), weigh), lambda x: x)
+
+    def dense(p: Column, i: Column) -> Column:
+        return F.coalesce(F.try_divide(F.get(c["dot"], i).cast("double"), F.sqrt(F.get(c["norm"], i)) * F.sqrt(c["asked_norm"])), F.lit(0.0))
+
+    phrase = lambda p: F.contains(F.concat(F.lit(" "), F.array_join(p, " "), F.lit(" ")), F.concat(F.lit(" "), F.col("phrase"), F.lit(" ")))
+    # only a paragraph with every word of the question can hold the phrase
+    gold = lambda p, i: F.when(F.forall(F.get(c["tf"], i), lambda f: f > 0), phrase(p)).otherwise(False).cast("long")
+    more = [("late", lambda p, i: F.get(c["late"], i))] if late else []
+    each = [("bm25", lambda p, i: rounded(bm25(p, i))), ("dense", lambda p, i: rounded(dense(p, i))), *more]
+    d = stage(d, keep, s=F.transform("ts", lambda p, i: F.struct((i + 1).cast("long").alias("pos"), F.size(p).cast("long").alias("len"), gold(p, i).alias("is_gold"), *(f(p, i).alias(name) for name, f in each))))
+    d = stage(d, [*keep, "s"], n_gold=total(F.col("s.is_gold"), lambda x: x, "long"), **{f"r{name[0]}": ranks(F.col(f"s.{name}")) for name, _ in each})
+    ranked = F.transform("s", lambda x, i: F.struct(*(x[name].alias(name) for name in ("pos", "len", "is_gold", *(name for name, _ in each))), *(F.get(f"r{name[0]}", i).alias(f"r{name[0]}") for name, _ in each)))
     return stage(d, [*keep, "n_gold"], s=ranked)
 
 
