@@ -209,24 +209,18 @@ ONE_IN = 1000
 def counted_dictionary(docs: DataFrame) -> DataFrame:
     """The words that enough documents hold."""
     words = docs.select(F.explode(F.array_distinct(text.words(F.col("text")))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    return words.where(F.col("n") >= max(3, docs.count() // ONE_IN)).select("word")
+    return stored(words.where(F.col("n") >= max(3, docs.count() // ONE_IN)).select("word"))
 
 
 @query()
 def dictionary_segmentation(spark, sf_dir):
     """Documents without the blanks between their words, cut into words again by a dictionary counted from the table; how many word ends are found."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = ev.spread(read(spark, sf_dir, "documents").select("doc_id", "text"))
     tokenize = segment.segmented(segment.dictionary(counted_dictionary(docs)), whole=None)
     rows = ev.stage(docs, ["doc_id"], w=text.words(F.col("text")))
     rows = rows.select("doc_id", "w", tokenize(F.array_join("w", "")).alias("t"))
-    return rows.select("doc_id", F.size("w").cast("long").alias("n_words"), F.size("t").cast("long").alias("n_tokens"), F.size(F.array_intersect(ends("w"), ends("t"))).cast("long").alias("n_ends_found"), F.md5(F.array_join("t", " ")).alias("tokens_md5"))
-
-
-def ends(tokens: str):
-    """Where each token ends in the text without blanks."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends"))
-    step = lambda s, t: F.struct((s["at"] + F.length(t)).alias("at"), F.array_append(s["ends"], s["at"] + F.length(t)).alias("ends"))
-    return F.aggregate(tokens, start, step, lambda s: s["ends"])
+    rows = rows.select("doc_id", "w", "t", segment.ends("w").alias("ew"), segment.ends("t").alias("et"))
+    return rows.select("doc_id", F.size("w").cast("long").alias("n_words"), F.size("t").cast("long").alias("n_tokens"), F.size(F.array_intersect("ew", "et")).cast("long").alias("n_ends_found"), F.md5(F.array_join("t", " ")).alias("tokens_md5"))
 
 
 # -- prompts, flags and texts looked up

@@ -109,3 +109,13 @@ def test_questions_can_be_asked_over_a_dictionary(spark):
     tokens = [r.t for r in lines.select(segment.segmented(words)(F.col("line")).alias("t")).collect()]
     assert tokens == [["ฉัน", "กิน", "ข้าวผัด", "ที่", "บ้าน"], ["ตาก", "ลม", "ที่", "บ้าน"]]
     assert evidence.paragraphs(docs).count() == 2
+
+
+def test_ends_are_running_lengths(spark):
+    df = spark.createDataFrame([(["ab", "ก", "cde"],), ([],), (None,), (["x"],)], "w array<string>").coalesce(1)
+    assert [r.e for r in df.select(segment.ends("w").alias("e")).collect()] == [[2, 3, 6], [], [], [1]]
+
+
+def test_long_texts_take_time_in_proportion(spark):
+    df = spark.range(1).selectExpr("transform(sequence(1, 400000), x -> 'ab') AS w")
+    assert df.select(F.element_at(segment.ends("w"), -1).alias("last")).first().last == 800000
