@@ -306,11 +306,14 @@ WIDTH = 8
 NARROW = TOKENS_AS_BUCKETS.replace("% 64", f"% {WIDTH}")
 
 
-def two_places(tokens):
-    """Each token as a vector with a one in one of the first WIDTH places and in one of the last."""
-    at = lambda h, i: (F.conv(F.substring(h, i, 4), 16, 10).cast("int") % WIDTH).cast("int")
-    ones = lambda h: F.transform(F.sequence(F.lit(0), F.lit(2 * WIDTH - 1)), lambda i: ((i == at(h, 1)) | (i == at(h, 5) + WIDTH)).cast("float"))
-    return F.transform(F.transform(tokens, F.md5), ones)
+def two_places(tokens, distinct=False):
+    """Each token as a vector with a one in one of the first WIDTH places and in one of the last; if asked for, each distinct one once."""
+    digit = lambda h, i: F.instr(F.lit("0123456789abcdef"), F.substring(h, i, 1)) - 1
+    one = lambda i, j: F.array(*(F.lit(float(x in (i, WIDTH + j))).cast("float") for x in range(2 * WIDTH)))
+    table = F.array(*(one(i, j) for i in range(WIDTH) for j in range(WIDTH)))
+    # WIDTH divides 16: four hex digits modulo WIDTH are the last one's remainder
+    at = F.transform(F.transform(tokens, F.md5), lambda h: (digit(h, 4) % WIDTH) * WIDTH + digit(h, 8) % WIDTH)
+    return F.transform(F.array_distinct(at) if distinct else at, lambda i: F.get(table, i))
 
 
 @query(
@@ -323,9 +326,9 @@ r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, pos) AS
     )
 )
 def late_interaction_cached(spark, sf_dir):
-    """Token vectors written to the cache, read back, coded and ranked by MaxSim: each question's five best paragraphs."""
+    """Token vectors (a paragraph's distinct ones: repeats change no maximum) written to the cache, read back, coded and ranked by MaxSim: each question's five best paragraphs."""
     docs, path = ev.spread(read(spark, sf_dir, "documents").select("doc_id", "text")), scratch.folder(spark)
-    sinks.write_vectors(ev.paragraphs(docs).select("doc_id", "pos", two_places(F.col("tokens")).alias("vectors")), path)
+    sinks.write_vectors(ev.paragraphs(docs).select("doc_id", "pos", two_places(F.array_distinct("tokens"), distinct=True).alias("vectors")), path)
     cache = corpus.read_vectors(spark, path, "doc_id long, pos long, vectors array<array<float>>")
     asked = ev.questioned(docs).select(F.col("doc_id").alias("query_id"), "doc_id", two_places(F.col("q")).alias("vectors"))
     return late.ranked(asked, cache, 5).select(F.col("query_id").alias("doc_id"), "pos", "rank", "score")

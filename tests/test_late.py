@@ -42,3 +42,17 @@ def test_nothing_cached(spark):
     assert late.ranked(asked, cache, 3).count() == 0
     empty = spark.createDataFrame([(1, 2, []), (1, 1, None)], CACHE)
     assert [(r.pos, r.score) for r in late.ranked(asked, empty, 3).orderBy("rank").collect()] == [(1, 0.0), (2, 0.0)]
+
+
+def test_codes_of_paragraphs(spark):
+    one, two = [1.0, 0.0], [0.0, 1.0]
+    cache = spark.createDataFrame([(1, 1, [one, two, one]), (1, 2, []), (1, 3, [two] * 2), (1, 4, None)], "doc_id long, pos long, vectors array<array<double>>").coalesce(1)
+    got = late.coded(cache, np.array([one, two])).orderBy("pos").collect()
+    assert [r.flat for r in got] == [[1.0, 0.0, 0.0, 1.0, 1.0, 0.0], [], [0.0, 1.0, 0.0, 1.0], []]
+    assert [r.codes for r in got] == [[0, 1], [], [1], []] and got[0].far == [0.0, 0.0]
+
+
+def test_documents_share_the_calls_of_python(spark):
+    cache, asked = tables(spark, documents=2)
+    plan = late.ranked(spark.createDataFrame(asked, ASKED), spark.createDataFrame(cache, CACHE), 3)._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" not in plan and plan.count("MapInArrow") == 2
