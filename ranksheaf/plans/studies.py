@@ -347,9 +347,9 @@ s AS (SELECT cap, doc_id, len(list_filter(list_distinct(q), lambda x: list_conta
 )
 def cap_sweep(spark, sf_dir):
     """How much of the question the first paragraph still holds when it is cut to so many words."""
-    d = ev.questioned(read(spark, sf_dir, "documents")).select("doc_id", "q", F.posexplode("ts").alias("i", "t"))
-    first = _evidence(spark, sf_dir).where("rd = 1").select("doc_id", (F.col("pos") - 1).cast("int").alias("i"))
-    rows = pools.with_parameter(d.join(first, ["doc_id", "i"]), "cap", CAPS)
+    d = ev.scored(read(spark, sf_dir, "documents"))
+    first = F.get("ts", (F.array_position(F.col("s.rd"), F.lit(1).cast("long")) - 1).cast("int"))
+    rows = pools.with_parameter(ev.stage(d, ["q"], t=first), "cap", CAPS)
     asked = F.array_distinct("q")
     cut = F.slice("t", F.lit(1), F.col("cap"))
     s = rows.select("cap", (F.size(F.array_intersect(asked, cut)) / F.size(asked)).alias("kept"), F.least(F.size("t"), F.col("cap")).alias("size"))
