@@ -112,7 +112,7 @@ def hybrid_assert(spark, sf_dir):
     )
 )
 def stage_filter_context(spark, sf_dir):
-    e = _evidence(spark, sf_dir).select("doc_id", "pos", F.concat(F.lit("P"), "pos").alias("para_id"), "dense", "rd")
+    e = scratch.stored(_evidence(spark, sf_dir).select("doc_id", "pos", F.concat(F.lit("P"), "pos").alias("para_id"), "dense", "rd"))
     return prompts.kept_by_citation(e, e.where("dense >= 0.3 AND rd <= 3"), ["doc_id"]).select("doc_id", "pos")
 
 
