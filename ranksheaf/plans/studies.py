@@ -164,7 +164,7 @@ f AS (SELECT e.doc_id, e.pos, coalesce(c.score, CASE WHEN e.bm25 > 0 THEN e.bm25
 )
 def rerank_fallback_join(spark, sf_dir):
     """Cached pair scores where there are some, live ones else, the lowest as a last resort."""
-    e = _evidence(spark, sf_dir)
+    e = scratch.stored(_evidence(spark, sf_dir).select("doc_id", "pos", "dense", "bm25"))
     keep = F.conv(F.substring(F.md5(F.concat_ws(":", "doc_id", "pos")), 1, 2), 16, 10).cast("int") < 200
     cached = e.where(keep).select("doc_id", "pos", F.col("dense").alias("score"))
     return inference.with_scores(e, cached, ["doc_id", "pos"], F.when(F.col("bm25") > 0, F.col("bm25"))).select("doc_id", "pos", F.round("score", 6).alias("score"))
