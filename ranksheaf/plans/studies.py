@@ -82,7 +82,7 @@ RUNS = EVIDENCE + """, runs AS (
 
 @query(over(RUNS, "SELECT a.query_id, b.answer, array_to_string(a.refs, ',') AS refs FROM runs a JOIN runs b USING (query_id) WHERE a.run = 'A' AND b.run = 'B'"))
 def column_merge(spark, sf_dir):
-    r = _runs(spark, sf_dir)
+    r = scratch.stored(_runs(spark, sf_dir))
     return inference.merged(r.where("run = 'B'"), r.where("run = 'A'")).select("query_id", "answer", F.array_join("refs", ",").alias("refs"))
 
 
