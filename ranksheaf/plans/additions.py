@@ -198,9 +198,10 @@ def gold_absent(spark, sf_dir):
 )
 def candidate_hard_constraints(spark, sf_dir):
     """Worked examples by the strict rules: one reference, at least 0.8 of the head restated, 20 to 35 words."""
-    single = _evidence(spark, sf_dir).where("n_gold = 1").select("doc_id", "pos", "len")
-    form = _form(spark, sf_dir).where("restate >= 0.8").select("doc_id", "pos")
-    return form.join(single.where("len BETWEEN 20 AND 35"), ["doc_id", "pos"]).select("doc_id", "pos")
+    d = ev.scored(read(spark, sf_dir, "documents")).where("n_gold = 1")
+    head, words = F.get("ts", F.lit(0)), lambda x: F.get("ts", (x["pos"] - 1).cast("int"))
+    kept = F.filter("s", lambda x: x["len"].between(20, 35) & (text.restate_score(words(x), head) >= 0.8))
+    return ev.stage(d, ["doc_id"], kept=kept).select("doc_id", F.explode("kept.pos").alias("pos"))
 
 
 @query(
