@@ -39,10 +39,10 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def paragraph_arrays(docs: DataFrame, tokenize: Tokenizer = words) -> DataFrame:
-    """doc_id, ps (valid lines in order), ts (their words), n."""
-    lines = stage(docs, ["doc_id"], ps=F.filter(F.split("text", "\n"), is_valid_paragraph))
-    return stage(lines, ["doc_id", "ps"], ts=F.transform("ps", tokenize), n=F.size("ps").cast("long"))
+def paragraph_arrays(docs: DataFrame, tokenize: Tokenizer = words, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, ps (valid lines in order), ts (their words), n, and the columns ``also`` of docs."""
+    lines = stage(docs, ["doc_id", *also], ps=F.filter(F.split("text", "\n"), is_valid_paragraph))
+    return stage(lines, ["doc_id", *also, "ps"], ts=F.transform("ps", tokenize), n=F.size("ps").cast("long"))
 
 
 def paragraphs(docs: DataFrame, tokenize: Tokenizer = words) -> DataFrame:
@@ -52,13 +52,14 @@ def paragraphs(docs: DataFrame, tokenize: Tokenizer = words) -> DataFrame:
     return rows.select("doc_id", "n", pos.alias("pos"), F.concat(F.lit("P"), pos.cast("string")).alias("para_id"), F.col("p.ps").alias("text"), F.col("p.ts").alias("tokens"))
 
 
-def questioned(docs: DataFrame, tokenize: Tokenizer = words) -> DataFrame:
+def questioned(docs: DataFrame, tokenize: Tokenizer = words, also: tuple[str, ...] = ()) -> DataFrame:
     """One question a document that has a word: every second of words 2 to 9 of one paragraph (its only word, if there is one); gold is where the phrase stands."""
     spoken = F.filter(F.transform("ts", lambda t, i: F.when(F.size(t) > 0, i)), lambda i: i.isNotNull())
-    d = stage(paragraph_arrays(docs, tokenize), ["doc_id", "n", "ps", "ts"], spoken=spoken).where(F.size("spoken") > 0)
-    d = stage(d, ["doc_id", "n", "ps", "ts"], chosen=F.get("ts", F.get("spoken", F.pmod(F.col("doc_id"), F.size("spoken")).cast("int"))))
-    d = stage(d, ["doc_id", "n", "ps", "ts"], span=F.when(F.size("chosen") > 1, F.slice("chosen", 2, 8)).otherwise(F.col("chosen")))
-    return stage(d, ["doc_id", "n", "ps", "ts"], q=F.filter("span", lambda t, i: i % 2 == 0), phrase=F.array_join("span", " "))
+    keep = ["doc_id", *also, "n", "ps", "ts"]
+    d = stage(paragraph_arrays(docs, tokenize, also), keep, spoken=spoken).where(F.size("spoken") > 0)
+    d = stage(d, keep, chosen=F.get("ts", F.get("spoken", F.pmod(F.col("doc_id"), F.size("spoken")).cast("int"))))
+    d = stage(d, keep, span=F.when(F.size("chosen") > 1, F.slice("chosen", 2, 8)).otherwise(F.col("chosen")))
+    return stage(d, keep, q=F.filter("span", lambda t, i: i % 2 == 0), phrase=F.array_join("span", " "))
 
 
 def run_lengths(a: Column) -> Column:
@@ -88,13 +89,13 @@ def total(a: Column, f: Callable[[Column], Column], kind: str = "double") -> Col
     return F.aggregate(a, F.lit(0).cast(kind), lambda s, x: s + f(x).cast(kind))
 
 
-def scored(docs: DataFrame, tokenize: Tokenizer = words, late: bool = False) -> DataFrame:
-    """doc_id, n, ps, ts, q, n_gold and s: per paragraph pos, len, is_gold, bm25, dense (and late), rb, rd (and rl)."""
-    keep = ["doc_id", "n", "ps", "ts", "q"]
+def scored(docs: DataFrame, tokenize: Tokenizer = words, late: bool = False, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n, ps, ts, q, n_gold and s: per paragraph pos, len, is_gold, bm25, dense (and late), rb, rd (and rl); and the columns ``also`` of docs."""
+    keep = ["doc_id", *also, "n", "ps", "ts", "q"]
     n, c = F.col("n"), F.col("c")
     idf = lambda df: F.log(n - df + 0.5) - F.log(df + 0.5)
     standing = lambda j: total(c["tf"], lambda t: (F.get(t, j) > 0).cast("long"), "long")
-    d = questioned(spread(docs.select("doc_id", "text")), tokenize)
+    d = questioned(spread(docs.select("doc_id", "text", *also)), tokenize, also)
     d = stage(d, [*keep, "phrase"], c=counted(late)(F.col("ts"), F.col("q")))
     d = stage(d, [*keep, "phrase", "c"], avgdl=total(F.col("ts"), F.size, "long") / n, idf0=F.transform("q", lambda t, j: idf(standing(j))))
     # the mean over all words of the document is asked for only where a word of the question stands in most paragraphs
@@ -135,7 +136,11 @@ def methods(e: DataFrame) -> DataFrame:
 
 def rrf_score(*ranks: str, k: int = 60) -> Column:
     """Reciprocal rank fusion; a list that lacks the paragraph adds nothing."""
-    return sum((F.coalesce(F.lit(1.0) / (F.lit(k) + F.col(r)), F.lit(0.0)) for r in ranks), F.lit(0.0))
+    return rrf_of(*(F.col(r) for r in ranks), k=k)
+
+
+def rrf_of(*ranks: Column, k: int = 60) -> Column:
+    return sum((F.coalesce(F.lit(1.0) / (F.lit(k) + r), F.lit(0.0)) for r in ranks), F.lit(0.0))
 
 
 def min_max(c: str, group: str = "doc_id") -> Column:
@@ -169,6 +174,11 @@ def question_metrics(ranked: DataFrame, keys: list[str]) -> DataFrame:
     hits = ranked.groupBy(*keys, "n_gold").agg(
         *(within(k).alias(f"in{k}") for k in (1, 5, 20)), F.count_if(gold & (rank <= F.col("n_gold"))).alias("ino"), F.min(F.when(gold, rank)).alias("first"), F.count_if(rank <= F.col("n_gold")).alias("shown")
     )
+    return metrics_of(hits, keys)
+
+
+def metrics_of(hits: DataFrame, keys: list[str]) -> DataFrame:
+    """Metrics from in1, in5, in20 and ino (gold up to ranks 1, 5, 20 and n_gold), first (rank of the first gold one) and shown (how many ranks up to n_gold there are)."""
     share = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
     n = F.col("n_gold")
     return hits.select(
@@ -177,6 +187,17 @@ def question_metrics(ranked: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def document_metrics(rows: DataFrame) -> DataFrame:
+    """method, doc_id and the metrics of ``question_metrics`` over ``methods``, from rows of ``scored``: within the document's row, nothing is shuffled."""
+    d = stage(rows, ["doc_id", "n", "n_gold"], rd=F.col("s.rd"), rb=F.col("s.rb"), rr=ranks(F.transform("s", lambda x: rounded(rrf_of(x["rb"], x["rd"])))), marks=F.col("s.is_gold"))
+    golden = lambda r: F.filter(r, lambda x, i: F.get("marks", i) == 1)
+    each = F.array(*(F.struct(F.lit(m).alias("method"), golden(F.col(r)).alias("g")) for m, r in (("dense", "rd"), ("bm25", "rb"), ("rrf", "rr"))))
+    d = d.select("doc_id", "n", "n_gold", F.inline(each))
+    within = lambda k: F.size(F.filter("g", lambda r: r <= k)).cast("long")
+    hits = d.select("method", "doc_id", "n_gold", *(within(k).alias(f"in{k}") for k in (1, 5, 20)), within(F.col("n_gold")).alias("ino"), F.array_min("g").alias("first"), F.least("n", "n_gold").alias("shown"))
+    return metrics_of(hits, ["method", "doc_id"])
+
+
 METRICS = ["hit1", "hit5", "hit20", "recall5", "mrr", "iou1", "iouok"]
 
 

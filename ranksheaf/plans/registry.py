@@ -36,6 +36,10 @@ def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.evidence(read(spark, sf_dir, "documents"))
 
 
+def _scored(spark: SparkSession, sf_dir: str, *also: str) -> DataFrame:
+    return ev.scored(read(spark, sf_dir, "documents"), also=also)
+
+
 def _paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.paragraphs(read(spark, sf_dir, "documents"))
 
@@ -153,8 +157,7 @@ MEANS = "CAST(count(*) AS BIGINT) AS n_queries, " + ", ".join(f"round(avg({m}),
 
 @query(over(EVIDENCE, f"SELECT method, {MEANS} FROM metrics GROUP BY method"))
 def flagship_retrieval_eval(spark, sf_dir):
-    per = ev.question_metrics(ev.methods(_evidence(spark, sf_dir)), ["method", "doc_id"])
-    return ev.mean_metrics(per, ["method"])
+    return ev.mean_metrics(ev.document_metrics(_scored(spark, sf_dir)), ["method"])
 
 
 FLAGSHIP = flagship_retrieval_eval
@@ -162,7 +165,7 @@ FLAGSHIP = flagship_retrieval_eval
 
 @query(over(EVIDENCE, "SELECT method, doc_id, " + ", ".join(f"round({m}, 6) AS {m}" for m in ev.METRICS) + " FROM metrics"))
 def rank_metrics_hit_mrr_iou(spark, sf_dir):
-    per = ev.question_metrics(ev.methods(_evidence(spark, sf_dir)), ["method", "doc_id"])
+    per = ev.document_metrics(_scored(spark, sf_dir))
     return per.select("method", "doc_id", *(F.round(m, 6).alias(m) for m in ev.METRICS))
 
 

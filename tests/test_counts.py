@@ -57,3 +57,12 @@ def test_evidence_is_computed_once(spark, name, monkeypatch):
     monkeypatch.setattr(evidence, "scored", lambda *a, **k: made.append(1) or real(*a, **k))
     plan = registry.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert len(made) == 1 and plan.count("ArrowEvalPython") <= 1 and plan.count("documents.parquet") <= 1
+
+
+@pytest.mark.parametrize("name, exchanges", [("flagship_retrieval_eval", 1), ("rank_metrics_hit_mrr_iou", 0)])
+def test_paragraphs_are_not_shuffled(spark, name, exchanges, monkeypatch):
+    from ranksheaf.operators import evidence
+
+    monkeypatch.setattr(evidence, "SPREAD_BYTES", -1)
+    plan = registry.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == exchanges and "Join" not in plan and "Window" not in plan and plan.count("FileScan") == 1
