@@ -9,7 +9,7 @@ from ..functions import text
 from ..operators import evidence as ev
 from ..operators import pools
 from .oracle import ARRAYS, EVIDENCE, over
-from .registry import MIN_MAX, _evidence, query, read
+from .registry import MIN_MAX, _evidence, _scored, query, read
 from .studies import FORM, _form
 
 
@@ -89,7 +89,7 @@ def full_document_reranked(spark, sf_dir):
 )
 def gold_reachability(spark, sf_dir):
     """How much gold a pool can hold at all, by language."""
-    g = _evidence(spark, sf_dir).where("is_gold = 1").join(read(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    g = _scored(spark, sf_dir, "lang").select("lang", F.inline(F.filter("s", lambda x: x["is_gold"] == 1)))
     return g.groupBy("lang").agg(F.count(F.lit(1)).alias("gold"), F.count_if((F.col("rd") <= 20) | (F.col("rb") <= 20)).alias("reachable"), F.count_if((F.col("dense") == 0) & (F.col("bm25") == 0)).alias("unscored"))
 
 
