@@ -119,7 +119,7 @@ def fitted(rows: DataFrame, folds: int = 1, l2: float = L2) -> list[Model]:
 
 def out_of_fold(rows: DataFrame, folds: int, l2: float = L2) -> DataFrame:
     """rows with chance: each by the model that was not trained on its fold."""
-    models, chance = fitted(rows, folds, l2), F.lit(None).cast("double")
+    models, chance = fitted(rows.select("features", "label", "fold"), folds, l2), F.lit(None).cast("double")
     for k, m in enumerate(models):
         chance = F.when(F.col("fold") == k, m.chance(F.col("features"))).otherwise(chance)
     return rows.withColumn("chance", chance)

@@ -92,8 +92,12 @@ def citation_rate(rank: Column, rates: list[float]) -> Column:
 
 def simulated_citations(e: DataFrame, rates: list[float], seed: str = "cite", rank: str = "rd") -> DataFrame:
     """Paragraphs that a model would cite if it always cited rank 1 and the others with a fixed rate; hash-seeded."""
-    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "doc_id", "pos")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    return e.withColumn("cited", (u < citation_rate(F.col(rank), rates)).cast("long"))
+    return e.withColumn("cited", is_cited(F.col("pos"), F.col(rank), rates, seed))
+
+
+def is_cited(pos: Column, rank: Column, rates: list[float], seed: str = "cite") -> Column:
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "doc_id", pos)), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    return (u < citation_rate(rank, rates)).cast("long")
 
 
 def number_cited(chances: Column) -> Column:

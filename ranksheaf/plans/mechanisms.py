@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import citations, rouge, segment, text
@@ -11,7 +11,7 @@ from ..operators import evidence as ev
 from ..sources import corpus, scores, scratch, sinks
 from ..sources.scratch import stored
 from .oracle import ARRAYS, EVIDENCE, HEX, STRIP, WORDS, over
-from .registry import LCS, RATES, TOKENS_AS_BUCKETS, _detail, _evidence, query, read
+from .registry import LCS, RATES, TOKENS_AS_BUCKETS, _detail, _evidence, _scored, query, read
 from .studies import CLASSES_SQL, FORM, LABELLED, _form, _labelled
 
 # -- best pairs
@@ -127,16 +127,21 @@ per AS (SELECT policy, e.doc_id, n_gold, count(*) AS size, sum(is_gold) AS found
 )
 def logreg_policies(spark, sf_dir):
     """Mean IoU when the number kept, one or two, is fixed, follows the citations, the regression on more than one gold paragraph, or the truth."""
-    w = Window.partitionBy("doc_id")
-    e = pools.simulated_citations(_evidence(spark, sf_dir), RATES).select("doc_id", "pos", "n_gold", "is_gold", "rd", "dense", "cited")
-    e = stored(e.withColumn("top", F.max("dense").over(w)).withColumn("n_cited", F.sum("cited").over(w)))
-    at = lambda r: F.max(F.when(F.col("rd") == r, F.col("dense")))
-    q = e.groupBy("doc_id", "n_gold").agg((at(1) - F.coalesce(at(2), F.lit(0.0))).alias("gap"), F.count_if(F.col("dense") >= 0.9 * F.col("top")).cast("double").alias("near"))
-    rows = q.select("doc_id", (F.col("n_gold") > 1).cast("int").alias("label"), inference.folds(F.col("doc_id"), FOLDS).cast("int").alias("fold"), F.array("gap", "near").alias("features"))
-    chances = logistic.out_of_fold(stored(rows), FOLDS).select("doc_id", F.round("chance", 6).alias("chance"))
+    d = F.sort_array(F.col("s.dense"), asc=False)
+    gold = lambda k: ev.total(F.filter("s", lambda x: x["rd"] <= k), lambda x: x["is_gold"], "long")
+    near = F.size(F.filter("s.dense", lambda x: x >= 0.9 * F.get("d", F.lit(0)))).cast("double")
+    q = ev.stage(_scored(spark, sf_dir), ["doc_id", "n", "n_gold", "s"], d=d)
+    cited = ev.total(F.col("s"), lambda x: pools.is_cited(x["pos"], x["rd"], RATES), "long")
+    made = {"gap": F.get("d", F.lit(0)) - F.coalesce(F.get("d", F.lit(1)), F.lit(0.0)), "near": near, "n_cited": cited, "found1": gold(1), "found2": gold(2)}
+    q = ev.stage(q, ["doc_id", "n", "n_gold"], **made)
+    rows = q.select("*", (F.col("n_gold") > 1).cast("int").alias("label"), inference.folds(F.col("doc_id"), FOLDS).cast("int").alias("fold"), F.array("gap", "near").alias("features"))
+    rows = logistic.out_of_fold(stored(rows), FOLDS).withColumn("chance", F.round("chance", 6))
     two = lambda c: F.when(c, 2).otherwise(1)
     rules = {"one": F.lit(1), "two": F.lit(2), "by_citation": two(F.col("n_cited") > 1), "by_logreg_0.5": two(F.col("chance") > 0.5), "by_logreg_0.3": two(F.col("chance") > 0.3), "oracle": two(F.col("n_gold") > 1)}
-    return pools.policy_iou(e.join(chances, "doc_id"), rules)
+    each = F.inline(F.array(*(F.struct(F.lit(name).alias("policy"), k.alias("k")) for name, k in rules.items())))
+    per = rows.select("n", "n_gold", "found1", "found2", each)
+    size, found = F.least("n", "k"), F.when(F.col("k") == 1, F.col("found1")).otherwise(F.col("found2"))
+    return per.groupBy("policy").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(found / (size + F.col("n_gold") - found)), 6).alias("iou"))
 
 
 # -- answers cut and scored again
