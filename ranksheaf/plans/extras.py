@@ -77,8 +77,8 @@ def policy_table(spark, sf_dir):
 @query(over(EVIDENCE, "SELECT doc_id, string_agg('P' || pos, ',' ORDER BY rd) AS order_by_score FROM evidence GROUP BY doc_id"))
 def full_document_reranked(spark, sf_dir):
     """The whole document in order of score, nothing left out."""
-    e = _evidence(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rd", "pos"))).alias("p"))
-    return e.select("doc_id", F.array_join(F.transform("p", lambda x: F.concat(F.lit("P"), x["pos"].cast("string"))), ",").alias("order_by_score"))
+    order = F.sort_array(F.transform("s", lambda x: F.struct(x["rd"].alias("rd"), x["pos"].alias("pos"))))
+    return _scored(spark, sf_dir).select("doc_id", F.array_join(F.transform(order, lambda x: F.concat(F.lit("P"), x["pos"].cast("string"))), ",").alias("order_by_score"))
 
 
 @query(
