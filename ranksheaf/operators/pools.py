@@ -149,16 +149,20 @@ def strategy_table(ranked: DataFrame, inside: dict[str, Column]) -> DataFrame:
     )
 
 
-def shape(e: DataFrame, score: str = "dense", rank: str = "rd") -> DataFrame:
-    """How a question's scores fall off: gap and ratio to the second, how many are near the top, mean and deviation of five."""
-    w = Window.partitionBy("doc_id").orderBy(rank)
-    top = F.first(score).over(w)
-    rows = e.select("doc_id", rank, F.col(score).alias("s"), top.alias("top"), F.lead(score).over(w).alias("next"))
-    first = F.col(rank) == 1
-    five = F.when(F.col(rank) <= 5, F.col("s"))
-    return rows.groupBy("doc_id").agg(
-        F.round(F.max(F.when(first, F.col("s") - F.col("next"))), 6).alias("gap"), F.round(F.max(F.when(first, F.coalesce(F.try_divide("next", F.greatest("s", F.lit(1e-9))), F.lit(0.0)))), 6).alias("ratio"),
-        F.count_if(F.col("s") >= 0.5 * F.col("top")).alias("over_half"), F.count_if(F.col("s") >= 0.9 * F.col("top")).alias("near_top"), F.round(F.avg(five), 6).alias("mean5"), F.round(F.stddev_pop(five), 6).alias("std5"),
+def shape(rows: DataFrame, score: str = "dense") -> DataFrame:
+    """How a question's scores fall off: gap and ratio to the second, how many are near the top, mean and deviation of five; within rows that hold all scores as s."""
+    d = rows.select("doc_id", F.inline(F.array(F.struct(F.sort_array(F.col(f"s.{score}"), asc=False).alias("d")))))
+    top, second, five = F.get("d", F.lit(0)), F.get("d", F.lit(1)), F.slice("d", 1, 5)
+    over = lambda share: F.size(F.filter("d", lambda x: x >= share * top)).cast("long")
+    none = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+
+    def more(m: Column, x: Column) -> Column:  # Welford's update, as aggregates do it
+        n, delta = m["n"] + 1, x - m["mean"]
+        return F.struct(n.alias("n"), (m["mean"] + delta / n).alias("mean"), (m["m2"] + delta * (delta - delta / n)).alias("m2"))
+
+    return d.select(
+        "doc_id", F.round(top - second, 6).alias("gap"), F.round(F.coalesce(F.try_divide(second, F.greatest(top, F.lit(1e-9))), F.lit(0.0)), 6).alias("ratio"), over(0.5).alias("over_half"), over(0.9).alias("near_top"),
+        F.round(F.aggregate(five, F.lit(0.0), lambda s, x: s + x) / F.size(five), 6).alias("mean5"), F.round(F.aggregate(five, none, more, lambda m: F.sqrt(m["m2"] / m["n"])), 6).alias("std5"),
     )
 
 

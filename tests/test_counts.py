@@ -59,7 +59,7 @@ def test_evidence_is_computed_once(spark, name, monkeypatch):
     assert len(made) == 1 and plan.count("ArrowEvalPython") <= 1 and plan.count("documents.parquet") <= 1
 
 
-@pytest.mark.parametrize("name, exchanges", [("flagship_retrieval_eval", 1), ("rank_metrics_hit_mrr_iou", 0), ("gold_reachability", 1), ("logreg_policies", 1), ("full_document_reranked", 0)])
+@pytest.mark.parametrize("name, exchanges", [("flagship_retrieval_eval", 1), ("rank_metrics_hit_mrr_iou", 0), ("gold_reachability", 1), ("logreg_policies", 1), ("full_document_reranked", 0), ("score_shape", 0)])
 def test_paragraphs_are_not_shuffled(spark, name, exchanges, monkeypatch):
     from ranksheaf.operators import evidence
 
