@@ -40,6 +40,11 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), NOT_WORD), "")
 
 
+def spoken(text: Column) -> Column:
+    """The words with one space between them; no word, no text."""
+    return F.trim(F.regexp_replace(F.lower(text), NOT_WORD, " "))
+
+
 def words_and_spaces(text: Column) -> Column:
     """Like words, with the white space between them as tokens of their own."""
     return F.regexp_extract_all(F.lower(text), F.lit(WORD_OR_SPACE), F.lit(0))

@@ -12,11 +12,14 @@ from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql.functions import arrow_udf
 
 #: Buckets of the hashed vectors, and words of the documents that are counted together.
 DIMENSIONS, BLOCK = 64, 1 << 19
+#: Bytes of the texts that are multiplied together, and bytes that a paragraph counts as beside its text.
+TEXTS, ROW = 4 << 20, 64
 FIELDS = "tf array<array<int>>, dot array<long>, norm array<long>, asked_norm long, standing array<long>"
 
 
@@ -25,9 +28,9 @@ def starts(lists: pa.Array) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
 
 
-def buckets(words: list[str]) -> np.ndarray:
+def buckets(words: np.ndarray) -> np.ndarray:
     """Per word the two buckets that the first and the next four hex digits of its hash name."""
-    digests = np.frombuffer(b"".join(md5(w.encode()).digest()[:4] for w in words), ">u2").reshape(-1, 2)
+    digests = np.frombuffer(b"".join([md5(w.encode()).digest()[:4] for w in words]), ">u2").reshape(-1, 2)
     return (digests % DIMENSIONS).astype(np.int64)
 
 
@@ -37,7 +40,7 @@ def block_counts(ts: pa.Array, q: pa.Array, late: bool) -> dict[str, pa.Array]:
     docs, upto, n, rows = starts(ts), starts(paragraphs), len(paragraphs), len(ts)
     every = pa.concat_arrays([paragraphs.flatten(), q.flatten()]).dictionary_encode()
     # the last row is what no place of a question asks for
-    hashed = np.concatenate([buckets(every.dictionary.to_pylist()), [[-1, -1]]])
+    hashed = np.concatenate([buckets(every.dictionary.to_numpy(zero_copy_only=False)), [[-1, -1]]])
     code, asked = np.split(every.indices.to_numpy(zero_copy_only=False).astype(np.int64), [upto[-1]])
     par, doc = np.repeat(np.arange(n), np.diff(upto)), np.repeat(np.arange(rows), np.diff(docs))
     owner = np.repeat(np.arange(rows), size)
@@ -95,3 +98,40 @@ def counted(late: bool = False) -> Callable[[Column, Column], Column]:
             yield pa.concat_arrays(done)
 
     return lambda ts, q: count(ts, q)
+
+
+def block_products(texts: pa.Array, q: pa.Array) -> dict[str, pa.Array]:
+    """The fields of ``products`` for some documents."""
+    said, owner = pc.split_pattern(texts.flatten(), " "), np.repeat(np.arange(len(q)), np.diff(starts(q)))
+    docs, upto, n, rows = starts(texts), starts(said), len(said), len(q)
+    every = pa.concat_arrays([said.flatten(), q.flatten()]).dictionary_encode()
+    hashed = buckets(every.dictionary.to_numpy(zero_copy_only=False))[:, 0]
+    first, asked = np.split(hashed[every.indices.to_numpy(zero_copy_only=False)], [upto[-1]])
+    par = np.repeat(np.arange(n), np.diff(upto))
+    # a paragraph without words is one empty text, which no other paragraph holds
+    empty = pc.equal(texts.flatten(), "").to_numpy(zero_copy_only=False)
+    if empty.any():
+        par, first = par[~empty[par]], first[~empty[par]]
+    filled = np.bincount(par * DIMENSIONS + first, minlength=n * DIMENSIONS).reshape(n, DIMENSIONS)
+    own = np.bincount(owner * DIMENSIONS + asked, minlength=rows * DIMENSIONS).reshape(rows, DIMENSIONS)
+    dot = np.einsum("ij,ij->i", filled, np.repeat(own, np.diff(docs), axis=0))
+    lists = lambda values: pa.ListArray.from_arrays(pa.array(docs, pa.int32()), pa.array(values, pa.int64()))
+    return {"dot": lists(dot), "norm": lists(np.einsum("ij,ij->i", filled, filled)), "asked_norm": pa.array((own**2).sum(axis=1), pa.int64())}
+
+
+def products() -> Callable[[Column, Column], Column]:
+    """texts (of the paragraphs, one space between words), q (the question's words) -> dot, norm and asked_norm of ``counted``, and nothing that only other scores ask for."""
+
+    @arrow_udf("struct<dot array<long>, norm array<long>, asked_norm long>")
+    def multiply(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, q in batches:
+            docs, lengths = starts(texts), pc.binary_length(texts.flatten()).to_numpy(zero_copy_only=False)
+            load, at, done = np.concatenate([[0], np.cumsum(lengths + ROW)])[docs], 0, []
+            while at < len(texts) or not done:
+                end = max(at + 1, int(np.searchsorted(load, load[at] + TEXTS, "right")) - 1)
+                found = block_products(texts.slice(at, end - at), q.slice(at, end - at))
+                done.append(pa.StructArray.from_arrays(list(found.values()), list(found)))
+                at = end
+            yield pa.concat_arrays(done)
+
+    return lambda texts, q: multiply(texts, q)

@@ -13,8 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import is_valid_paragraph, words
-from .counts import counted
+from ..functions.text import is_valid_paragraph, spoken, words
+from .counts import counted, products
 
 #: Okapi BM25's constants.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -58,8 +58,23 @@ def questioned(docs: DataFrame, tokenize: Tokenizer = words, also: tuple[str, ..
     keep = ["doc_id", *also, "n", "ps", "ts"]
     d = stage(paragraph_arrays(docs, tokenize, also), keep, spoken=spoken).where(F.size("spoken") > 0)
     d = stage(d, keep, chosen=F.get("ts", F.get("spoken", F.pmod(F.col("doc_id"), F.size("spoken")).cast("int"))))
-    d = stage(d, keep, span=F.when(F.size("chosen") > 1, F.slice("chosen", 2, 8)).otherwise(F.col("chosen")))
-    return stage(d, keep, q=F.filter("span", lambda t, i: i % 2 == 0), phrase=F.array_join("span", " "))
+    d = stage(d, keep, span=span_of("chosen"))
+    return stage(d, keep, q=asked(F.col("span")), phrase=F.array_join("span", " "))
+
+
+def span_of(chosen: str) -> Column:
+    """Words 2 to 9, or the only one."""
+    return F.when(F.size(chosen) > 1, F.slice(chosen, 2, 8)).otherwise(F.col(chosen))
+
+
+def asked(span: Column) -> Column:
+    """Every second word."""
+    return F.filter(span, lambda t, i: i % 2 == 0)
+
+
+def cosine(dot: Column, norm: Column, asked_norm: Column) -> Column:
+    """From a product and squared lengths; 0 where one is empty."""
+    return F.coalesce(F.try_divide(dot.cast("double"), F.sqrt(norm) * F.sqrt(asked_norm)), F.lit(0.0))
 
 
 def run_lengths(a: Column) -> Column:
@@ -109,7 +124,7 @@ def scored(docs: DataFrame, tokenize: Tokenizer = words, late: bool = False, als
         return total(F.zip_with(F.get(c["tf"], i), F.col("idf"), weigh), lambda x: x)
 
     def dense(p: Column, i: Column) -> Column:
-        return F.coalesce(F.try_divide(F.get(c["dot"], i).cast("double"), F.sqrt(F.get(c["norm"], i)) * F.sqrt(c["asked_norm"])), F.lit(0.0))
+        return cosine(F.get(c["dot"], i), F.get(c["norm"], i), c["asked_norm"])
 
     phrase = lambda p: F.contains(F.concat(F.lit(" "), F.array_join(p, " "), F.lit(" ")), F.concat(F.lit(" "), F.col("phrase"), F.lit(" ")))
     # only a paragraph with every word of the question can hold the phrase
@@ -122,6 +137,18 @@ def scored(docs: DataFrame, tokenize: Tokenizer = words, late: bool = False, als
     return stage(d, [*keep, "n_gold"], s=ranked)
 
 
+def dense_scores(docs: DataFrame) -> DataFrame:
+    """doc_id and dense: that score of every paragraph of a questioned document, as ``scored`` gives it; what only the other scores and gold need is neither made nor counted."""
+    d = stage(spread(docs.select("doc_id", "text")), ["doc_id"], ps=F.filter(F.split("text", "\n"), is_valid_paragraph))
+    d = stage(d, ["doc_id"], ts=F.transform("ps", spoken))
+    d = stage(d, ["doc_id", "ts"], said=F.filter(F.transform("ts", lambda t, i: F.when(t != "", i)), lambda i: i.isNotNull())).where(F.size("said") > 0)
+    d = stage(d, ["doc_id", "ts"], chosen=F.split(F.get("ts", F.get("said", F.pmod(F.col("doc_id"), F.size("said")).cast("int"))), " "))
+    d = stage(d, ["doc_id", "ts"], q=asked(span_of("chosen")))
+    d = stage(d, ["doc_id"], c=products()(F.col("ts"), F.col("q")))
+    c = F.col("c")
+    return stage(d, ["doc_id"], dense=F.zip_with(c["dot"], c["norm"], lambda dot, norm: rounded(cosine(dot, norm, c["asked_norm"]))))
+
+
 def evidence(docs: DataFrame, tokenize: Tokenizer = words, late: bool = False) -> DataFrame:
     """doc_id, pos, n, len, is_gold, n_gold, bm25, dense, rb, rd (and late, rl) for every paragraph of a questioned document."""
     return scored(docs, tokenize, late).select("doc_id", "n", "n_gold", F.inline("s"))

@@ -150,8 +150,8 @@ def strategy_table(ranked: DataFrame, inside: dict[str, Column]) -> DataFrame:
 
 
 def shape(rows: DataFrame, score: str = "dense") -> DataFrame:
-    """How a question's scores fall off: gap and ratio to the second, how many are near the top, mean and deviation of five; within rows that hold all scores as s."""
-    d = rows.select("doc_id", F.inline(F.array(F.struct(F.sort_array(F.col(f"s.{score}"), asc=False).alias("d")))))
+    """How a question's scores fall off: gap and ratio to the second, how many are near the top, mean and deviation of five; within rows that hold all scores of a question as an array."""
+    d = rows.select("doc_id", F.inline(F.array(F.struct(F.sort_array(score, asc=False).alias("d")))))
     top, second, five = F.get("d", F.lit(0)), F.get("d", F.lit(1)), F.slice("d", 1, 5)
     over = lambda share: F.size(F.filter("d", lambda x: x >= share * top)).cast("long")
     none = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))

@@ -56,7 +56,7 @@ count(*) FILTER (s >= 0.9 * top) AS near_top, round(avg(CASE WHEN rd <= 5 THEN s
     )
 )
 def score_shape(spark, sf_dir):
-    return pools.shape(_scored(spark, sf_dir))
+    return pools.shape(ev.dense_scores(read(spark, sf_dir, "documents")))
 
 
 @query(

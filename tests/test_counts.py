@@ -66,3 +66,30 @@ def test_paragraphs_are_not_shuffled(spark, name, exchanges, monkeypatch):
     monkeypatch.setattr(evidence, "SPREAD_BYTES", -1)
     plan = registry.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == exchanges and "Join" not in plan and "Window" not in plan and plan.count("FileScan") == 1
+
+
+@pytest.mark.parametrize("block", [1, 90, 1 << 22])
+def test_products_are_those_of_the_counts(spark, monkeypatch, block):
+    monkeypatch.setattr(counts, "TEXTS", block)
+    rows = [(doc_id, [" ".join(p) for p in ts], q) for doc_id, ts, q in ROWS]
+    df = spark.createDataFrame(rows, "doc_id long, texts array<string>, q array<string>").coalesce(1)
+    got = {r.doc_id: r.c for r in df.select("doc_id", counts.products()("texts", "q").alias("c")).collect()}
+    for doc_id, ts, q in ROWS:
+        assert (got[doc_id].dot, got[doc_id].norm, got[doc_id].asked_norm) == by_hand(ts, q)[1:4]
+
+
+def test_score_shape_makes_only_dense_scores(spark):
+    plan = registry.QUERIES["score_shape"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "multiply(" in plan and all(f"AS {name}" not in plan for name in ("bm25", "is_gold", "phrase", "rd", "rb"))
+
+
+def test_dense_scores_are_those_of_the_evidence(spark):
+    from ranksheaf.operators import evidence
+
+    odd = [None, "", "\n\n", "---\n===", "one", "***\nÄß ΑΣ İx ภาษาไทย\n« »\nx", "a  b\tc,d;e\n  lead trail  \nA_b 1²", "!!\n??\n!word!\n   z y", "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11\nw2 w4"]
+    docs = spark.createDataFrame([(i, t) for k in range(3) for i, t in enumerate(odd, k * len(odd))], "doc_id long, text string").unionByName(
+        spark.read.parquet(f"{SMALL}/documents.parquet").selectExpr("doc_id + 1000 AS doc_id", "text")
+    )
+    want = {r.doc_id: r.d for r in evidence.scored(docs).selectExpr("doc_id", "s.dense AS d").collect()}
+    got = {r.doc_id: r.dense for r in evidence.dense_scores(docs).collect()}
+    assert len(want) > 200 and got == want
